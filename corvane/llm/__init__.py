@@ -11,15 +11,22 @@ _MODULES = {
     "op1_token_frames": "token_files",
     "op2_toxicity": "toxicity",
     "op3_token_counts": "token_counts",
+    "op4_chat_format": "chat",
+    "op5_sentencepiece": "pieces",
+    "op6_source_mixing": "mixing",
+    "op7_html_text": "html_text",
     "op8_near_duplicates": "near_dup",
     "op9_winnowing": "winnow",
+    "op10_nearest_vectors": "neighbours",
 }
 
 
 def queries():
     """Query name -> callable(spark, sf_dir)."""
     found = {name: import_module(f"{__name__}.{module}").query for name, module in _MODULES.items()}
-    return found
+    import corpus_pipeline
+
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
