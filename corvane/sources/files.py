@@ -72,8 +72,9 @@ def walk(spark: SparkSession, root: str, includes: Iterable[str] = (), excludes:
     base = root.rstrip("/")
     rel = F.regexp_replace("path", "^.*?" + re.escape(re.sub(r"^[a-z]+:/*", "/", base)) + "/", "")
     files = files.withColumn("rel", rel)
-    above = F.transform(F.sequence(F.lit(1), F.size(F.split("rel", "/"))), lambda n: F.concat(F.substring_index("rel", "/", n), F.lit("/")))
-    folders = F.slice(above, F.lit(1), F.size(above) - 1)
+    parts = F.split("rel", "/")
+    folders = F.transform(parts, lambda _, i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    folders = F.slice(folders, F.lit(2), F.size(parts) - 1)
     pruned = F.exists(folders, lambda d: matches(d, excludes)) if excludes else F.lit(False)
     kept = files.where(matches(F.col("rel"), includes) & ~matches(F.col("rel"), excludes) & ~pruned)
     return kept.select("path", "rel", F.date_trunc("second", "modificationTime").alias("mod_time"), F.col("length").alias("size"), "content")
