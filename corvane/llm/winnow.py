@@ -141,7 +141,7 @@ def with_successor(docs: DataFrame, per_task, schema: str, ranges: int | None =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = ranges or 4 * tasks
-    cuts = rows.select(key.alias("key")).approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)
+    cuts = rows.select(key.alias("key")).approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = sorted({int(x) for x in cuts})
     at = _bucket(key, bounds)
     tops = {r[0]: r[1] for r in rows.groupBy(at.alias("at")).agg(F.max(key)).collect()}  # one row a range
