@@ -13,11 +13,15 @@ probability (1 - 0.8**6)**56 < 5e-8; at 0.05 it meets one with 9e-7.
 
 Documents with the same set are one node from the start.  Every bucket links
 its members to its smallest one (a star, never all pairs); the links are
-confirmed on the full sets and joined to components.  Members of a bucket that
-are still in different components after that are then compared with each
-other, so every pair that shares a bucket is either connected or was compared
-on full sets: no bucket is capped.  Sets are built again for the documents
-that need it, from their texts, rather than shuffled for all.
+confirmed on the full sets and joined to components.  In a bucket that still
+holds several components, a few rounds compare the others with a member of its
+largest one, another each round.  What is left apart is then compared pair by
+pair, in blocks of sketches within one task: pairs whose sketches agree in
+``AGREE`` coordinates go to the full sets (at a similarity of 0.8 fewer agree
+with probability below 1e-6).  So no bucket is capped, and every pair that
+shares one is connected, or refuted by its full sets or sketches.  Sets are
+built again for the documents that need it, from their texts, rather than
+shuffled for all.
 
 Defined results: a null text is an empty one; an empty document has no
 shingles and is linked with nothing; rows that repeat a doc_id are one document
@@ -40,6 +44,10 @@ ROWS, BANDS = 6, 56
 COORDINATES = ROWS * BANDS
 #: Up to this many doc_ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Agreeing coordinates that send a pair to its full sets: 0.8 of them less 4.9 standard deviations.
+AGREE = int(COORDINATES * 0.8 - 4.9 * (COORDINATES * 0.8 * 0.2) ** 0.5)
+#: Rounds of hubs before the rest of a bucket is compared in blocks of so many members.
+HUB_ROUNDS, BLOCK = 4, 2048
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -154,7 +162,8 @@ def _sets(width: int):
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = shingle_sets(part.column("text").to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
+                short = sketch(sets).astype("<u2")  # the low 16 bits tell coordinates apart well enough
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "shingles", "sketch"])
 
     return run
 
@@ -164,19 +173,60 @@ def semi_join(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-ids")
-    sets = written(semi_join(docs, ids, "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "id long, shingles array<long>"), "near-sets")
     size = lambda c: F.size(c).cast("long")
     near = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a")
     # The smaller set must reach percent of the larger one; that needs no intersection.
     near = near.where(100 * F.least(size("s"), size("t")) >= percent * F.greatest(size("s"), size("t")))
     near = near.select("a", "b", (size("s") + size("t")).alias("total"), size(F.array_intersect("s", "t")).alias("both"))
-    out = written(near.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b").distinct(), "near-links")
-    discard(sets)
-    discard(ids)
-    return out
+    return written(near.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b").distinct(), "near-links")
+
+
+def hubs(crowds: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets that hold several components: band, no, rep, root, and the bucket's largest component with one of its members."""
+    placed = crowds.join(found, "rep", "left").select("band", "no", "rep", F.coalesce("root", "rep").alias("root"))
+    parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep"))["rep"].alias("hub"))
+    whole = parts.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", -F.col("root"), "root", "hub")).alias("top"))
+    whole = whole.where("roots > 1").select("band", "n", F.col("top.root").alias("main"), F.col("top.hub").alias("hub"))
+    return placed.join(whole, "band")
+
+
+def _apart(group: pa.Table) -> pa.Table:
+    """Pairs of different components in one tile of a bucket whose sketches agree enough, each in the first bucket they share."""
+    rep, root, block = (group.column(c).to_numpy() for c in ("rep", "root", "block"))
+    no, main, one, two = (group.column(c)[0].as_py() for c in ("no", "main", "i", "j"))
+    marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(len(rep), -1)
+    columns = np.ascontiguousarray(marks.T)
+    out_a, out_b = [], []
+    outside = np.flatnonzero(root != main)
+    for at in range(0, len(outside), 256):
+        u = outside[at : at + 256]
+        agree = np.zeros((len(u), len(rep)), np.uint16)
+        for c in columns:
+            agree += c[u][:, None] == c
+        apart = (agree >= AGREE) & (root[u][:, None] != root)
+        apart &= (block[u][:, None] != block) if one != two else True
+        # A pair of two outsiders is met from both sides: keep one.
+        apart &= (root == main) | (rep[u][:, None] < rep)
+        x, y = np.nonzero(apart)
+        x = u[x]
+        first = (marks[x] == marks[y]).reshape(len(x), BANDS, ROWS).all(2).argmax(1)
+        x, y = x[first == no], y[first == no]
+        out_a.append(np.minimum(rep[x], rep[y]))
+        out_b.append(np.maximum(rep[x], rep[y]))
+    none = [np.empty(0, np.int64)]
+    return pa.table([np.concatenate(out_a or none), np.concatenate(out_b or none)], names=["a", "b"])
+
+
+def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of ``hubs`` members that may still be near, found in tiles of at most two blocks."""
+    rows = members.join(sets.select(F.col("id").alias("rep"), "sketch"), "rep")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    rows = rows.select("band", "no", "main", "rep", "root", "block", "i", "j", "sketch")
+    return rows.groupBy("band", "i", "j").applyInArrow(_apart, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,13 +270,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = written(filled.select("doc_id", "key", "n_shingles", "digest").join(reps, "digest").select("doc_id", "key", "n_shingles", "rep"), "near-nodes")
 
     banded = filled.join(reps.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("key") == F.col("rep")))
-    banded = banded.select("rep", F.explode("bands").alias("band"))
+    banded = banded.select("rep", F.posexplode("bands").alias("no", "band"))
     met = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n"))
     met = written(met.where("low != high"), "near-met")
-    crowds = written(banded.join(met.where("n > 2").select("band", "low"), "band"), "near-crowds")
+    crowds = written(banded.join(met.where("n > 2").select("band", "low"), "band").distinct(), "near-crowds")
     pairs = met.select(F.col("low").alias("a"), F.col("high").alias("b")).union(crowds.where("rep != low").select("low", "rep"))
-    pairs = written(pairs.distinct(), "near-pairs")
-    links = confirmed(docs, pairs, width, percent)
+    compared = written(pairs.distinct(), "near-pairs")
+    # Every member of a bucket is in a pair: these sets serve all that follows.
+    ids = written(compared.select(F.col("a").alias("doc_id")).union(compared.select("b")).distinct(), "near-ids")
+    sets = written(semi_join(docs, ids, "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "id long, shingles array<long>, sketch binary"), "near-sets")
+    links = confirmed(compared, sets, percent)
 
     # Rows of one doc_id with different sets are one document.
     ways = nodes.select("key", "rep").distinct()
@@ -235,18 +288,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     edges = written(links.union(same), "near-edges")
     found = components(edges)
 
-    # Members of a crowded bucket that the stars did not connect are compared with each other.
-    placed = crowds.join(found, "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-    split = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band")
-    split = written(split, "near-split")
-    if not split.isEmpty():
-        rest = written(placed.join(split, "band"), "near-rest")
-        other = rest.select("band", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-        more = rest.withColumnRenamed("rep", "a").join(other, "band").where("a < b and root != root_b").select("a", "b").distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "near-more")
-        extra = confirmed(docs, more, width, percent)
-        if not extra.isEmpty():
-            found = components(edges.union(extra))
+    for turn in range(HUB_ROUNDS + 1):
+        members = written(hubs(crowds, found, turn), "near-members")
+        if members.isEmpty():
+            break
+        if turn < HUB_ROUNDS:
+            tried = members.where("root != main").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        else:
+            tried = apart(members, sets)
+        tried = written(tried.join(compared, ["a", "b"], "left_anti").distinct(), "near-tried")
+        more = confirmed(tried, sets, percent)
+        edges, compared = edges.union(more), compared.union(tried)
+        if not more.isEmpty():
+            found = components(edges)
 
     whole = nodes.join(found, "rep", "left").withColumn("component", F.coalesce("root", "rep"))
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.lit(None).cast("long").alias("key"))
