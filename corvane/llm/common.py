@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
+from itertools import chain, filterfalse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,11 +77,26 @@ class Memo(dict):
         super().__init__()
         self.compute, self.limit = compute, limit
 
-    def fill(self, keys: set) -> None:
-        if len(self) + len(keys) > self.limit:
-            held = {k: self[k] for k in keys if k in self}
+    def fill(self, *batches) -> None:
+        """Make sure that every key of the given collections of keys is there."""
+        missing = set(filterfalse(self.__contains__, chain.from_iterable(batches)))
+        if len(self) + len(missing) > self.limit:
+            held = {k: self[k] for k in set().union(*batches) - missing}
             self.clear()
             self.update(held)
-        missing = [k for k in keys if k not in self]
         if missing:
-            self.update(zip(missing, self.compute(missing), strict=True))
+            keys = list(missing)
+            with calm():
+                self.update(zip(keys, self.compute(keys), strict=True))
+
+
+@contextlib.contextmanager
+def calm():
+    """No cycle collection inside: batches of many small lists would set it off again and again, with nothing to find."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()

@@ -79,7 +79,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """
     cut = [t.encode().lower().split() if t else [] for t in texts]
     memo = _memo()
-    memo.fill(set().union(*cut))
+    memo.fill(*cut)
     get, out = memo.__getitem__, []
     for words in cut:
         h = np.fromiter(map(get, words), np.uint64, len(words))

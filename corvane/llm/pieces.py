@@ -151,7 +151,7 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each whole text."""
         cut = [Counter.units(t) if t else [] for t in texts]
-        self.memo.fill(set().union(*cut))
+        self.memo.fill(*cut)
         get = self.memo.__getitem__
         return [b"".join(map(get, units)) for units in cut]
 

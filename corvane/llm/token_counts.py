@@ -73,7 +73,7 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.units(t) if t else [] for t in texts]
-        self.counts.fill(set().union(*cut))
+        self.counts.fill(*cut)
         get = self.counts.__getitem__
         return [sum(map(get, units)) for units in cut]
 

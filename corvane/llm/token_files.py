@@ -19,6 +19,8 @@ import functools
 import os
 import re
 import struct
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -105,24 +107,31 @@ class FrameReader:
 
 # --- encoding ---------------------------------------------------------------
 
-_WORD = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PLAIN = re.compile(r"[ -~\t\n\v\f\rÀ-ÖØ-öø-ÿ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
 
 
+def _pack(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordEncoder:
-    """The ``tokenizers`` library's ids of whole texts, one call for each distinct word.
+    """The ``tokenizers`` library's ids of whole texts, one call for each distinct piece.
 
     The tokenizer replaces runs of white space by one and lets no token cross
-    it, so a text's ids are those of its words in turn.  Words of ASCII and
-    precomposed Latin-1 letters are cut as the tokenizer's own pattern cuts
-    them (normal form and lower-casing are plain there), which leaves few
-    distinct pieces; every other word, and a text with the separators that
-    Python but not the tokenizer takes for white space, goes to the library
-    as it is.
+    it nor the cuts of its pattern, so a text's ids are those of its pieces in
+    turn.  A text of ASCII and precomposed Latin-1 letters is cut as the
+    tokenizer's own pattern cuts it (normal form and lower-casing are plain
+    there).  Other texts are cut at white space and their words sent to the
+    library as they are; a text with the separators that Python but not the
+    tokenizer takes for white space goes to it whole.
     """
 
-    def __init__(self, path: str, words: int = 700_000, pieces: int = 500_000):
+    def __init__(self, path: str, pieces: int = 900_000, words: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -131,26 +140,20 @@ class WordEncoder:
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pieces = Memo(lambda p: self._run(self.bare, p), pieces)
-        self.words = Memo(self._encode_words, words)
+        self.words = Memo(lambda w: self._run(self.full, w), words)
 
     @staticmethod
     def _run(tokenizer, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        cut = [_PIECE.findall(w.lower()) if _WORD.fullmatch(w) and "<|" not in w else None for w in words]
-        self.pieces.fill({p for ps in cut if ps is not None for p in ps})
-        plain = [w for w, ps in zip(words, cut, strict=True) if ps is None]
-        other = dict(zip(plain, self._run(self.full, plain), strict=True))
-        get = self.pieces.__getitem__
-        return [other[w] if ps is None else b"".join(map(get, ps)) for w, ps in zip(words, cut, strict=True)]
+        return [_pack(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [None if _ODD.search(t) else t.split() for t in texts]
-        self.words.fill(set().union(*(ws for ws in cut if ws is not None)))
-        get = self.words.__getitem__
-        return [self._run(self.full, [t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, cut, strict=True)]
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        cut = [_PIECE.findall(t.lower()) if p else None if _ODD.search(t) else t.split() for t, p in zip(texts, plain, strict=True)]
+        self.pieces.fill(*[c for c, p in zip(cut, plain, strict=True) if p])
+        self.words.fill(*[c for c, p in zip(cut, plain, strict=True) if not p and c is not None])
+        piece, word = self.pieces.__getitem__, self.words.__getitem__
+        return [self._run(self.full, [t])[0] if c is None else b"".join(map(piece if p else word, c)) for t, c, p in zip(texts, cut, plain, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)

@@ -185,7 +185,7 @@ class Field:
         if "memo" not in self.__dict__:
             self.memo = Memo(self._emit, 600_000)
         words = [_TOKEN.findall(t.lower()) if t else [] for t in texts]
-        self.memo.fill(set().union(*words))
+        self.memo.fill(*words)
         get = self.memo.__getitem__
         return marginals([np.fromiter(map(get, ws), float, len(ws)) for ws in words], np.array(self.trans), max(-25.0, min(25.0, self.bias)))
 
