@@ -13,9 +13,12 @@ The ensembles are trained here on pages that ``sample_page`` makes up from
 varied layouts, where the origin of each text is known; nothing is fitted to
 the tables.
 
-Defined results: the title and other head matter, scripts, styles, templates,
-embedded objects and comments hold no text; a line break is white space; an
-unclosed tag at the end is dropped; a null or empty page, or one without main
+Defined results: titles, scripts, styles, templates, embedded objects and
+comments hold no text, and run to the end of the page if nothing closes them;
+the head needs no end tag, what is text in it belongs to the body; SVG and
+MathML hold no text and end at an end tag, as an empty element or where an
+element of HTML begins or ends; a line break is white space; an unclosed tag at
+the end is dropped; a null or empty page, or one without main
 text, gives the empty text; repeated rows and null page_ids stay; other columns
 are ignored; an empty table gives no rows.
 """
@@ -36,10 +39,18 @@ from corvane.llm.common import table, tune
 
 # --- the tree -----------------------------------------------------------------
 
+_ATTRS = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
+#: Elements that cannot stand in SVG or MathML: their tags end it, closed or not.
+_BREAKS = "html|head|body|p|h[1-6]|hgroup|hr|li|dt|dd|ul|ol|dl|menu|div|center|section|article|main|nav|header|footer|address|aside|dialog|form|fieldset|button|legend|details|table|tr|td|th|tbody|thead|tfoot|caption|blockquote|pre|listing|figure|figcaption|b|big|br|code|em|embed|i|img|meta|nobr|ruby|s|small|span|strong|strike|sub|sup|tt|u|var"
+_INNER = "|".join(rf"<{x}(?=[\s/>]){_ATTRS}>(?:(?<=/>)|.*?(?:</{x}\s*>|{end}\Z))" for names, end in (("foreignObject annotation-xml", ""), ("desc title mi mo mn ms mtext", r"(?=</(?:svg|math)\s*>)|")) for x in names.split())
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|iframe|svg|object|head|title|textarea|select|canvas|math)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    rf"|<(?P<raw>script|style|template|noscript|iframe|object|title|textarea|select|canvas)(?=[\s/>]){_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    # SVG and MathML may be empty elements; HTML inside some of their elements does not end them.
+    rf"|<(?P<foreign>svg|math)(?=[\s/>]){_ATTRS}>(?:(?<=/>)|(?:[^<]++|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    rf"|{_INNER}"
+    rf"|<(?!/(?P=foreign)[\s>]|/?(?:{_BREAKS})[\s/>]))*+(?:</(?P=foreign)\s*>)?)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|<[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I,

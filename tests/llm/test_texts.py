@@ -172,6 +172,24 @@ def test_pages_by_hand(models):
     assert html_text.extract([], models) == []
 
 
+def test_optional_and_empty_tags():
+    """A head without an end tag, empty and unclosed SVG and MathML, and names that only begin alike hide nothing after them."""
+    kept = "<article><p>Kept words.</p></article>"
+    for before in (
+        "<head><meta charset=utf-8><title>no</title><style>no</style><body>",
+        "<html><head><script>no</script>",
+        '<svg class="x" />',
+        "<p><math/></p>",
+        '<div><svg viewBox="0 0 1 1"><path d="M0"></div>',
+        "<svg><title>no</title><foreignObject><p>no</p></foreignObject><text>no</text></svg>",
+        "<math><mtext><b>no</b></mtext><mi>no</mi></math>",
+        "<svg><title>no<path></svg>",
+        "<svg><path><![CDATA[<p>no]]><!-- <p>no --></svg >",
+        "<svg-icon></svg-icon><object-view></object-view><title-bar></title-bar>",
+    ):
+        assert [x for x in html_text.Tree(before + kept).text if x] == ["Kept words."], before
+
+
 def test_labelling_has_no_contradictions(models):
     rng = random.Random(5)
     for _ in range(40):
