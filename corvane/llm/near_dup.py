@@ -25,9 +25,10 @@ shuffled for all.
 
 Defined results: a null text is an empty one; an empty document has no
 shingles and is linked with nothing; rows that repeat a doc_id are one document
-when linking; a row without doc_id is linked with equal sets alone, and its
-component_id is null unless a doc_id is among them (doc_ids are taken to be
-below 2**62); other columns are ignored; an empty table gives no rows.
+when linking; rows without doc_id are linked like others, those of one text as
+one document, and a component_id is null unless a doc_id is in the component
+(doc_ids are taken to be below 2**62); other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.llm.common import Memo, discard, table, tune, written
 
@@ -48,6 +49,8 @@ BROADCAST_IDS = 500_000
 AGREE = int(COORDINATES * 0.8 - 4.9 * (COORDINATES * 0.8 * 0.2) ** 0.5)
 #: Rounds of hubs before the rest of a bucket is compared in blocks of so many members.
 HUB_ROUNDS, BLOCK = 4, 2048
+#: Keys from here on are names made from hashes, above all real doc_ids.
+NAMES = 1 << 62
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -140,7 +143,7 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(width: int):
@@ -151,7 +154,7 @@ def _sign(width: int):
                 sets = shingle_sets(part.column("text").to_pylist(), width)
                 keys = band_keys(sketch(sets))
                 bands = [k if len(s) else [] for s, k in zip(sets, keys, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
 
     return run
 
@@ -163,14 +166,19 @@ def _sets(width: int):
                 part = batch.slice(at, 200)
                 sets = shingle_sets(part.column("text").to_pylist(), width)
                 short = sketch(sets).astype("<u2")  # the low 16 bits tell coordinates apart well enough
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "shingles", "sketch"])
 
     return run
 
 
 def semi_join(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``rows`` with (left_semi) or without (left_anti) a doc_id in the written table ``ids``, which is broadcast only if it is small."""
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+    """``rows`` with (left_semi) or without (left_anti) their key in the written table ``ids``, which is broadcast only if it is small."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns, how)
+
+
+def _name(*columns: str) -> Column:
+    """A key made from columns."""
+    return F.lit(NAMES) + F.xxhash64(*columns).bitwiseAND(NAMES - 1)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -261,9 +269,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = docs.mapInArrow(_sign(width), "doc_id long, n_shingles long, digest binary, bands array<long>")
-    # A null doc_id is named by its set, above all real ids.
-    signed = signed.withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1) - F.xxhash64("digest").bitwiseAND((1 << 61) - 1)))
+    # A row without doc_id is named by its text.
+    docs = docs.withColumn("key", F.coalesce("doc_id", _name("text")))
+    signed = docs.mapInArrow(_sign(width), "doc_id long, key long, n_shingles long, digest binary, bands array<long>")
     signed = written(signed, "near-signed")
     filled = signed.where("n_shingles > 0")
     reps = written(filled.groupBy("digest").agg(F.min("key").alias("rep")), "near-reps")
@@ -277,8 +285,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = met.select(F.col("low").alias("a"), F.col("high").alias("b")).union(crowds.where("rep != low").select("low", "rep"))
     compared = written(pairs.distinct(), "near-pairs")
     # Every member of a bucket is in a pair: these sets serve all that follows.
-    ids = written(compared.select(F.col("a").alias("doc_id")).union(compared.select("b")).distinct(), "near-ids")
-    sets = written(semi_join(docs, ids, "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "id long, shingles array<long>, sketch binary"), "near-sets")
+    ids = written(compared.select(F.col("a").alias("key")).union(compared.select("b")).distinct(), "near-ids")
+    texts = semi_join(docs, ids, "left_semi").select("key", "text")
+    if not signed.where(F.col("key") >= NAMES).isEmpty():  # one row is enough of those that share a name
+        texts = texts.where(F.col("key") < NAMES).union(texts.where(F.col("key") >= NAMES).dropDuplicates(["key"]))
+    sets = written(texts.mapInArrow(_sets(width), "id long, shingles array<long>, sketch binary"), "near-sets")
     links = confirmed(compared, sets, percent)
 
     # Rows of one doc_id with different sets are one document.
@@ -305,19 +316,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     whole = nodes.join(found, "rep", "left").withColumn("component", F.coalesce("root", "rep"))
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.lit(None).cast("long").alias("key"))
     whole = whole.select("doc_id", "n_shingles", "component", "key").union(empty)
-    name = F.when(F.col("component") < 1 << 62, F.col("component"))  # a name made from a set is no doc_id
+    name = F.when(F.col("component") < NAMES, F.col("component"))  # a name made from a text is no doc_id
     return whole.select("doc_id", "n_shingles", name.alias("component_id"), (F.col("key").isNull() | (F.col("key") == F.col("component"))).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each group, that of the smallest doc_id, whole and with all columns."""
-    found = near_duplicates(docs, width, percent)
-    gone = written(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "near-gone")
-    stay = semi_join(docs, gone, "left_anti")
-    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        return stay
-    unnamed = stay.where("doc_id is null")
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    """The rows of ``docs`` that stay: one of each group, that of the smallest doc_id, whole and with all columns.
+
+    Here every text is a document of its own, whether its doc_id is null or
+    repeated; rows that share both doc_id and text are one, and rows without
+    doc_id and words all stay. Of a group of rows with null doc_ids or further
+    texts of a repeated one alone, any one stays; other rows go before them.
+    """
+    rows = docs.withColumn("near_id", F.col("doc_id").cast("long"))
+    said = F.xxhash64(F.col("text").cast("string"))
+    # Of a doc_id's different texts one keeps the doc_id as its key, the others are named.
+    ways = written(rows.where("near_id is not null").groupBy("near_id").agg(F.min(said).alias("near_low"), F.max(said).alias("high")).where("near_low != high").drop("high"), "near-ways")
+    n = ways.count()
+    rows = rows.join(F.broadcast(ways) if n <= BROADCAST_IDS else ways, "near_id", "left") if n else rows.withColumn("near_low", F.lit(None).cast("long"))
+    own = F.col("near_id").isNotNull() & (F.col("near_low").isNull() | (F.col("near_low") == said))
+    rows = rows.withColumn("near_key", F.when(own, F.col("near_id")).otherwise(_name("near_id", "text"))).drop("near_id", "near_low")
+    found = near_duplicates(rows.select(F.col("near_key").alias("doc_id"), "text"), width, percent)
+    found = written(found.select(F.col("doc_id").alias("near_key"), "n_shingles", "kept"), "near-found")
+    stay = semi_join(rows, written(found.where("not kept").select("near_key").distinct(), "near-gone"), "left_anti")
+    again = found.where((F.col("n_shingles") > 0) | (F.col("near_key") < NAMES)).groupBy("near_key").count().where("count > 1").select("near_key")
+    again = written(again, "near-again")
+    if not again.isEmpty():
+        stay = semi_join(stay, again, "left_anti").unionByName(semi_join(stay, again, "left_semi").dropDuplicates(["near_key"]))
+    return stay.select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,23 @@ def test_near_duplicates_edges(docs_of):
     assert sorted(r.doc_id for r in stay.collect()) == [1, 3] and stay.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_drop_near_duplicates_without_ids(docs_of):
+    """Rows without doc_id are compared like others; different texts of one doc_id are documents of their own."""
+    long = [f"w{i}" for i in range(100)]
+    near = [" ".join(long[:-1] + [f"x{i}"]) for i in range(4)]
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, near[0]), (None, near[1]), (None, near[1]), (None, other), (9, other), (None, " "), (None, None)]
+    rows += [(4, "p q r s t u v"), (4, "a b c d e f g"), (4, "a b c d e f g"), (8, "p q r s t u v"), (6, near[2]), (7, near[3])]
+    stay = near_dup.drop_near_duplicates(docs_of(rows))
+    got = [(r.doc_id, r.text) for r in stay.collect()]
+    assert set(got) == {(6, near[2]), (9, other), (None, " "), (None, None), (4, "a b c d e f g"), got[[t for _, t in got].index("p q r s t u v")]}
+    assert len(got) == 6 and stay.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    alone = near_dup.drop_near_duplicates(docs_of(rows[:4])).collect()
+    assert len(alone) == 2 and other in {r.text for r in alone}
+    found = near_dup.near_duplicates(docs_of(rows[:3] + [(6, near[2])])).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(None, 6, False), (6, 6, True)}
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
