@@ -12,11 +12,15 @@ all the features tried allows marks its tokens in toxic documents; every other
 token is clean.  The field is then fitted to these labelled tokens.
 
 Copies of one document would let its every rare word look like a mark, so only
-one of each family of like documents is learnt from.
+one of each family of like documents (``ALIKE`` of their words shared) is learnt
+from.
 
 Fitting takes a bounded sample: at most ``MAX_TOXIC`` and ``MAX_CLEAN``
 labelled documents of at most ``MAX_CHARS`` code points, chosen by a hash of
-their doc_id.  Scoring reads every whole text.
+their doc_id.  Marking features and calibration use one document of each family
+of them, the field's weights at most ``FIELD_DOCS`` of either label: random
+toxic ones, and the clean ones that look most like toxic ones.  Scoring reads
+every whole text.
 
 Defined results: a null or empty text scores as one without toxic tokens; a
 null doc_id is scored and is not held out; rows that repeat a doc_id are each
@@ -42,6 +46,8 @@ from corvane.llm.common import Memo, table, tune
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2500, 20_000
 #: Documents of either label that the field itself is fitted to.
 FIELD_DOCS = 500
+#: Shared part of two documents' words (intersection over union) from which one family holds them.
+ALIKE = 0.5
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"\w+")
 _WIDTH = 256
@@ -227,17 +233,22 @@ def _origin(text: str, span: tuple[int, int]) -> list[int]:
 
 
 def _families(docs: list[set[str]], rng) -> np.ndarray:
-    """For each document the first one that is like it: a shared band of minima over its words."""
+    """For each document the first one that is like it: a shared band of minima over its words, confirmed on all of them."""
     vocabulary = {w: i for i, w in enumerate(sorted(set().union(*docs)))}
     orders = np.stack([rng.permutation(len(vocabulary)) for _ in range(24)])
-    first, out = {}, np.arange(len(docs))
+    met, out = {}, np.arange(len(docs))
     for i, words in enumerate(docs):
         if words:
             least = orders[:, [vocabulary[w] for w in words]].min(1).reshape(8, 3)
             keys = [(b, *row) for b, row in enumerate(least.tolist())]
-            out[i] = min([i, *(first[k] for k in keys if k in first)])
-            for k in keys:
-                first.setdefault(k, out[i])
+            # Only the first of each family is kept in a band.
+            for j in sorted(set().union(*(met.get(k, ()) for k in keys))):
+                if len(words & docs[j]) >= ALIKE * len(words | docs[j]):
+                    out[i] = j
+                    break
+            else:
+                for k in keys:
+                    met.setdefault(k, []).append(i)
     return out
 
 
@@ -273,6 +284,7 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float] | None
     rng = np.random.default_rng(7)
     family = _families([set(w) for w in words], rng)
     lone = [i for i in range(len(y)) if family[i] == i or y[i] != y[family[i]]]
+    sampled = np.bincount(y, minlength=2)
     texts, words, y = [texts[i] for i in lone], [words[i] for i in lone], y[lone]
     if y.min() == y.max():
         model.calibration[0] = 50.0 * (2 * int(y.max()) - 1)
@@ -346,7 +358,9 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float] | None
     # Logistic calibration of the documents' scores by Newton's method.
     p = model.marginals(texts)
     x = np.array([[1, q.max() if len(q) else 0, math.log1p(q.sum()) if len(q) else 0] for q in p])
-    worth = np.where(y == 1, *(shares[::-1] if shares else (1.0, 1.0)))
+    # The documents left of a label stand for those of their families as well.
+    shares = np.array(shares or (1.0, 1.0)) * sampled / np.bincount(y, minlength=2)
+    worth = shares[y]
     worth = worth / worth.mean()
     beta = np.zeros(3)
     for _ in range(60):

@@ -39,6 +39,15 @@ def test_marginals_shortcut_is_exact():
         assert np.allclose(a, b, atol=1e-13)
 
 
+def test_families_are_confirmed():
+    """Unlike documents that share a band stay apart; copies do not."""
+    common = {f"c{i}" for i in range(20)}
+    docs = [common | {f"d{n}x{i}" for i in range(40)} for n in range(200)]
+    docs += [(docs[7] - {"d7x0"}) | {"new"}, set(docs[9]), set()]
+    got = toxicity._families(docs, np.random.default_rng(7)).tolist()
+    assert got == [*range(200), 7, 9, 202]
+
+
 def labelled(n, seed=0):
     rng = random.Random(seed)
     plain = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(400)]
