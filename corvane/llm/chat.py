@@ -4,7 +4,8 @@ The nested field paths of a row that belong to the vocabulary below are
 sorted and hashed; the hash selects a declarative mapping (``LAYOUTS``) to an
 array of canonical turns (role, text).  A table's fingerprint comes from its
 schema; rows of JSON text are fingerprinted one by one, so layouts may be mixed
-in one table.  Everything is DataFrame functions.
+in one table.  If no layout has just these paths, the largest one among them is
+taken.  Everything is DataFrame functions.
 
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside
 roles and texts a run "<", backslashes, "|" gets one more backslash, so that no
@@ -62,7 +63,7 @@ def _array(name: str, array: str, role: str, text: str) -> Layout:
 
 
 LAYOUTS = (
-    Layout("turn rows", ("conv_id", "turn", "role", "text")),
+    Layout("turn rows", ("turn", "role", "text")),
     _array("messages", "messages", "role", "content"),
     _array("nested messages", "body.messages", "role", "content"),
     _array("from and value", "conversations", "from", "value"),
@@ -75,7 +76,10 @@ LAYOUTS = (
     Layout("question and answer", ("question", "answer"), fields=(("question", "user"), ("answer", "assistant"))),
 )
 BY_FINGERPRINT = {x.fingerprint: x for x in LAYOUTS}
-VOCABULARY = frozenset(p for x in LAYOUTS if x.name != "turn rows" for p in x.paths) | {"body"}
+VOCABULARY = frozenset(p for x in LAYOUTS for p in x.paths) | {"body"}
+#: Layouts and paths of one row of JSON text; turn rows need several.
+JSON_LAYOUTS = LAYOUTS[1:]
+JSON_PATHS = sorted({p for x in JSON_LAYOUTS for p in x.paths})
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 
@@ -96,12 +100,12 @@ def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
 def layout_of(schema: T.StructType) -> Layout:
     """The layout that a table's schema selects, columns outside the vocabulary left out."""
     paths = set(schema_paths(schema))
-    rows = LAYOUTS[0]
-    if set(rows.paths) <= paths:
-        return rows
     found = BY_FINGERPRINT.get(fingerprint(paths & VOCABULARY))
     if found is None:
-        raise ValueError(f"no layout for the paths {sorted(paths)}")
+        inside = [x for x in LAYOUTS if set(x.paths) <= paths]
+        if not inside:
+            raise ValueError(f"no layout for the paths {sorted(paths)}")
+        found = max(inside, key=lambda x: len(x.paths))
     return found
 
 
@@ -142,21 +146,31 @@ def to_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
     return df.select(key, _mapped(layout, F.col).alias("turns"))
 
 
-def json_fingerprint(raw: Column) -> Column:
-    """The fingerprint of each row of JSON text: its keys in the vocabulary and those of its first array elements."""
-    keys = [F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>"))]
-    inner = lambda path, name: F.transform(F.coalesce(F.json_object_keys(F.get_json_object(raw, path)), F.array().cast("array<string>")), lambda k: F.concat(F.lit(name), k))
-    keys.append(inner("$.body", "body."))
-    for array in sorted({x.array[0] for x in LAYOUTS if x.array}):
-        keys.append(inner(f"$.{array}[0]", f"{array}[]."))
-    known = F.array(*[F.lit(p) for p in sorted(VOCABULARY - {"body"})])
-    return F.sha2(F.array_join(F.array_sort(F.array_intersect(F.concat(*keys), known)), "\n"), 256)
+def json_paths(raw: Column) -> Column:
+    """The paths in the vocabulary of each row of JSON text, sorted: its keys and those of all elements of its arrays."""
+    none = F.array().cast("array<string>")
+    top = lambda c, name: F.transform(F.coalesce(F.json_object_keys(c), none), lambda k: F.concat(F.lit(name), k))
+    keys = [top(raw, ""), top(F.get_json_object(raw, "$.body"), "body.")]
+    for array in sorted({x.array[0] for x in JSON_LAYOUTS if x.array}):
+        full = F.filter(F.from_json(F.get_json_object(raw, f"$.{array}"), "array<map<string,string>>"), lambda x: x.isNotNull())
+        inner = F.transform(F.flatten(F.transform(full, F.map_keys)), lambda k: F.concat(F.lit(f"{array}[]."), k))  # noqa: B023
+        # An array without elements has the paths of its layout.
+        every = F.array(*[F.lit(p) for x in JSON_LAYOUTS if x.array and x.array[0] == array for p in x.paths[1:]])
+        keys.append(F.coalesce(F.when(F.size(full) == 0, every).otherwise(inner), none))
+    return F.array_sort(F.array_intersect(F.concat(*keys), F.array(*map(F.lit, JSON_PATHS))))
+
+
+def json_fingerprint(paths: Column) -> Column:
+    """The fingerprint of the layout of each row's paths: their own, or else that of the largest layout among them."""
+    own = F.sha2(F.array_join(paths, "\n"), 256)
+    inside = [F.when(F.size(F.array_except(F.array(*map(F.lit, x.paths)), paths)) == 0, x.fingerprint) for x in sorted(JSON_LAYOUTS, key=lambda x: -len(x.paths))]
+    return F.coalesce(F.when(own.isin([x.fingerprint for x in JSON_LAYOUTS]), own), *inside)
 
 
 def json_turns(df: DataFrame, raw: str = "raw", key: str = "conv_id") -> DataFrame:
     """``key``, layout and turns of rows of JSON text, each by its own fingerprint."""
-    mark, turns, name = json_fingerprint(F.col(raw)), F.lit(None).cast(TURNS), F.lit(None).cast("string")
-    for layout in LAYOUTS[1:]:
+    turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
+    for layout in JSON_LAYOUTS:
 
         def get(path, layout=layout):
             if layout.array:
@@ -167,7 +181,8 @@ def json_turns(df: DataFrame, raw: str = "raw", key: str = "conv_id") -> DataFra
         here = F.col("layout_mark") == layout.fingerprint
         turns = F.when(here, _mapped(layout, get)).otherwise(turns)
         name = F.when(here, layout.name).otherwise(name)
-    return df.withColumn("layout_mark", mark).select(key, name.alias("layout"), turns.alias("turns"))
+    marked = df.withColumn("layout_paths", json_paths(F.col(raw))).withColumn("layout_mark", json_fingerprint(F.col("layout_paths")))
+    return marked.select(key, name.alias("layout"), turns.alias("turns"))
 
 
 # --- template -----------------------------------------------------------------

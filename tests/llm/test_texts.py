@@ -129,6 +129,18 @@ def test_layouts(spark):
     assert got[4] == ("nested messages", [("assistant", "z")]) and got[5] == (None, None) and got[9] == (None, None) and got[10] == (None, None)
 
 
+def test_layouts_among_other_paths(spark):
+    """Turn rows are found by their hash; further known fields, empty arrays and messages without a key lose no conversation."""
+    rows = spark.createDataFrame([(1, 0, "user", "x", 5)], "conv_id long, turn long, role string, text string, other int")
+    assert chat.BY_FINGERPRINT[chat.fingerprint(set(chat.schema_paths(rows.schema)) & chat.VOCABULARY)].name == chat.layout_of(rows.schema).name == "turn rows"
+    more = spark.createDataFrame([(1, [("user", "q")], "p")], "conv_id long, messages array<struct<role:string,content:string>>, prompt string")
+    assert chat.layout_of(more.schema).name == "messages"
+    raws = [{"messages": []}, {"messages": [{"role": "user"}, {"role": "model", "content": "a"}]}, {"messages": [{"role": "user", "content": "q"}], "prompt": "p"}, {"instruction": "do", "input": "it", "output": "done", "system": "s"}]
+    frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(raws)], "conv_id long, raw string")
+    got = {r.conv_id: (r.layout, r.turns and [(t["role"], t["text"]) for t in r.turns]) for r in chat.json_turns(frame).collect()}
+    assert got == {0: ("messages", []), 1: ("messages", [("user", ""), ("assistant", "a")]), 2: ("messages", [("user", "q")]), 3: ("instruction and input", [("user", "do\n\nit"), ("assistant", "done")])}
+
+
 # --- mixing
 
 
