@@ -30,13 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (single-machine tests) is a folder of
-    this process made, and then kept for the session.
+    Only where that setting is absent and the master is local (tests) is a
+    folder of this process made, and then kept for the session; on a cluster,
+    whose executors would each write to a disk of their own, that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.conf.get("spark.corvane.scratch", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.corvane.scratch", where)
     return where.rstrip("/")
@@ -56,13 +60,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a ``written`` table that nothing reads any more."""
-    path = getattr(df, "scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 class Memo(dict):

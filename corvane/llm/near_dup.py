@@ -11,17 +11,22 @@ agreements is concentrated as for independent samples.  ``ROWS`` coordinates
 make a band.  At a similarity of 0.8 a pair misses all 56 bands with
 probability (1 - 0.8**6)**56 < 5e-8; at 0.05 it meets one with 9e-7.
 
-Documents with the same set are one node from the start.  Every bucket links
-its members to its smallest one (a star, never all pairs); the links are
-confirmed on the full sets and joined to components.  In a bucket that still
-holds several components, a few rounds compare the others with a member of its
-largest one, another each round.  What is left apart is then compared pair by
-pair, in blocks of sketches within one task: pairs whose sketches agree in
-``AGREE`` coordinates go to the full sets (at a similarity of 0.8 fewer agree
-with probability below 1e-6).  So no bucket is capped, and every pair that
-shares one is connected, or refuted by its full sets or sketches.  Sets are
-built again for the documents that need it, from their texts, rather than
-shuffled for all.
+Documents with the same set are one node from the start.  Buckets that hold the
+same members count as one, of their number as weight.  Then every node is
+compared on the full sets with one other, the smallest member of the buckets it
+shares most with it, and the links are joined to components.  In a bucket that
+still holds several components, ``HUB_ROUNDS`` rounds compare every node outside
+the largest one with one member of it, again one pair a node.  What is left
+apart is settled in tiles: blocks of the outsiders against each other and
+against the largest component, bounded by members and by shingles, which carry
+the full sets, count all intersections exactly and give back only a spanning
+forest of the links they find.  So no bucket is capped, no step makes more pairs
+than it has nodes, and any two nodes that share a bucket are connected, or
+refuted by their full sets.  The tiles of a crowd in which no member is near
+another still do work with the square of its size: that is the price of losing
+no link; it is spread over as many tasks as there are tiles.  Sets are built
+again for the documents that need it, from their texts, rather than shuffled
+for all.
 
 Defined results: a null text is an empty one; an empty document has no
 shingles and is linked with nothing; rows that repeat a doc_id are one document
@@ -45,10 +50,10 @@ ROWS, BANDS = 6, 56
 COORDINATES = ROWS * BANDS
 #: Up to this many doc_ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Agreeing coordinates that send a pair to its full sets: 0.8 of them less 4.9 standard deviations.
-AGREE = int(COORDINATES * 0.8 - 4.9 * (COORDINATES * 0.8 * 0.2) ** 0.5)
-#: Rounds of hubs before the rest of a bucket is compared in blocks of so many members.
-HUB_ROUNDS, BLOCK = 4, 2048
+#: Rounds that compare outsiders with a member of their bucket's largest component, before tiles.
+HUB_ROUNDS = 2
+#: Most members and most shingles of a block, two of which meet in a tile (on average, as blocks are drawn by hash).
+BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1 << 19
 #: Keys from here on are names made from hashes, above all real doc_ids.
 NAMES = 1 << 62
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -143,7 +148,7 @@ def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(width: int):
@@ -154,7 +159,7 @@ def _sign(width: int):
                 sets = shingle_sets(part.column("text").to_pylist(), width)
                 keys = band_keys(sketch(sets))
                 bands = [k if len(s) else [] for s, k in zip(sets, keys, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=_SIGNED)
 
     return run
 
@@ -165,8 +170,7 @@ def _sets(width: int):
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = shingle_sets(part.column("text").to_pylist(), width)
-                short = sketch(sets).astype("<u2")  # the low 16 bits tell coordinates apart well enough
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "shingles"])
 
     return run
 
@@ -182,59 +186,139 @@ def _name(*columns: str) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs, by columns rep and hub, whose full sets have 100 * intersection >= percent * union."""
     size = lambda c: F.size(c).cast("long")
-    near = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a")
+    near = pairs.join(sets.select(F.col("id").alias("rep"), F.col("shingles").alias("s")), "rep").join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("t")), "hub")
     # The smaller set must reach percent of the larger one; that needs no intersection.
     near = near.where(100 * F.least(size("s"), size("t")) >= percent * F.greatest(size("s"), size("t")))
-    near = near.select("a", "b", (size("s") + size("t")).alias("total"), size(F.array_intersect("s", "t")).alias("both"))
-    return written(near.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b").distinct(), "near-links")
+    near = near.select(*pairs.columns, (size("s") + size("t")).alias("total"), size(F.array_intersect("s", "t")).alias("both"))
+    return near.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select(pairs.columns)
 
 
 def hubs(crowds: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """Members of buckets that hold several components: band, no, rep, root, and the bucket's largest component with one of its members."""
-    placed = crowds.join(found, "rep", "left").select("band", "no", "rep", F.coalesce("root", "rep").alias("root"))
-    parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep"))["rep"].alias("hub"))
-    whole = parts.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", -F.col("root"), "root", "hub")).alias("top"))
-    whole = whole.where("roots > 1").select("band", "n", F.col("top.root").alias("main"), F.col("top.hub").alias("hub"))
+    """Members of buckets that hold several components: ``crowds`` with root, the bucket's largest component (main), one of its members (hub), and the blocks of the rest (outer) and of it (inner).
+
+    The hub is drawn by a hash of the node, so that the buckets of one crowd agree on it.
+    """
+    placed = crowds.join(found, "rep", "left").select("band", "weight", "rep", "size", F.coalesce("root", "rep").alias("root"))
+    parts = placed.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep"))["rep"].alias("hub"))
+    whole = parts.groupBy("band").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", -F.col("root"), "root", "size", "hub")).alias("top"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_MEMBERS), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    outer, inner = blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")), blocks(F.col("top.n"), F.col("top.size"))
+    whole = whole.where("roots > 1").select("band", F.col("top.root").alias("main"), F.col("top.hub").alias("hub"), outer.alias("outer"), inner.alias("inner"))
     return placed.join(whole, "band")
 
 
-def _apart(group: pa.Table) -> pa.Table:
-    """Pairs of different components in one tile of a bucket whose sketches agree enough, each in the first bucket they share."""
-    rep, root, block = (group.column(c).to_numpy() for c in ("rep", "root", "block"))
-    no, main, one, two = (group.column(c)[0].as_py() for c in ("no", "main", "i", "j"))
-    marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(len(rep), -1)
-    columns = np.ascontiguousarray(marks.T)
-    out_a, out_b = [], []
-    outside = np.flatnonzero(root != main)
-    for at in range(0, len(outside), 256):
-        u = outside[at : at + 256]
-        agree = np.zeros((len(u), len(rep)), np.uint16)
-        for c in columns:
-            agree += c[u][:, None] == c
-        apart = (agree >= AGREE) & (root[u][:, None] != root)
-        apart &= (block[u][:, None] != block) if one != two else True
-        # A pair of two outsiders is met from both sides: keep one.
-        apart &= (root == main) | (rep[u][:, None] < rep)
-        x, y = np.nonzero(apart)
-        x = u[x]
-        first = (marks[x] == marks[y]).reshape(len(x), BANDS, ROWS).all(2).argmax(1)
-        x, y = x[first == no], y[first == no]
-        out_a.append(np.minimum(rep[x], rep[y]))
-        out_b.append(np.maximum(rep[x], rep[y]))
-    none = [np.empty(0, np.int64)]
-    return pa.table([np.concatenate(out_a or none), np.concatenate(out_b or none)], names=["a", "b"])
-
-
-def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of ``hubs`` members that may still be near, found in tiles of at most two blocks."""
-    rows = members.join(sets.select(F.col("id").alias("rep"), "sketch"), "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    rows = rows.select("band", "no", "main", "rep", "root", "block", "i", "j", "sketch")
-    return rows.groupBy("band", "i", "j").applyInArrow(_apart, "a long, b long")
+def one_each(members: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """One pair (rep, hub; root, main) for each outsider: the hub it shares most buckets with, of those it was not yet compared with."""
+    shared = members.where("root != main").groupBy("rep", "root", "main", "hub").agg(F.sum("weight").alias("shared"))
+    if tried is not None:
+        turned = tried.select(F.col("rep").alias("hub"), F.col("hub").alias("rep"))
+        shared = shared.join(tried.select("rep", "hub").unionByName(turned), ["rep", "hub"], "left_anti")
+    best = shared.groupBy("rep").agg(F.max(F.struct("shared", "hub", "root", "main")).alias("best"))
+    return best.select("rep", "best.hub", "best.root", "best.main")
+
+
+def intersections(values: np.ndarray, owner: np.ndarray, n: int, values2: np.ndarray, owner2: np.ndarray, n2: int) -> np.ndarray:
+    """The n x n2 matrix of intersection sizes of sets given as elements with their owners.
+
+    Elements that many sets of both sides hold are multiplied as dense columns, all others are listed pair by pair.
+    """
+    known, at = np.unique(np.concatenate([values, values2]), return_inverse=True)
+    at, at2 = at[: len(values)], at[len(values) :]
+    held, held2 = np.bincount(at, minlength=len(known)), np.bincount(at2, minlength=len(known))
+    out = np.zeros((n, n2))
+    dense = held * held2 >= max(1, n * n2 // 32)
+    columns = np.flatnonzero(dense)
+    place = np.full(len(known), -1)
+    for first in range(0, len(columns), 1024):
+        some = columns[first : first + 1024]
+        place[some] = np.arange(len(some))
+        a, b = np.zeros((n, len(some)), np.float32), np.zeros((n2, len(some)), np.float32)
+        for m, who, where in ((a, owner, at), (b, owner2, at2)):
+            kept = place[where] >= 0
+            m[who[kept], place[where[kept]]] = 1
+        out += a @ b.T
+        place[some] = -1
+    # The rest: each element of the first side meets all holders of it on the second one.
+    kept = ~dense[at] & (held2[at] > 0)
+    left, left_owner = at[kept], owner[kept]
+    order = np.argsort(at2, kind="stable")
+    start, holders = np.concatenate([[0], np.cumsum(held2)]), owner2[order]
+    times = held2[left]
+    ends = np.cumsum(times)
+    flat = out.reshape(-1)
+    first = 0
+    while first < len(left):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 21), "right")))
+        t = times[first:last]
+        step = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        met = np.repeat(left_owner[first:last], t) * n2 + holders[np.repeat(start[left[first:last]], t) + step]
+        cells, count = np.unique(met, return_counts=True)
+        flat[cells] += count
+        first = last
+    return out
+
+
+def _joined(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member of each of n nodes' components under the edges x, y."""
+    low = np.arange(n)
+    while True:
+        m = np.minimum(low[x], low[y])
+        now = low.copy()
+        np.minimum.at(now, x, m)
+        np.minimum.at(now, y, m)
+        now = now[now]
+        if (now == low).all():
+            return low
+        low = now
+
+
+def _forest(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Roots (a) that links of this tile join to a smaller root (b)."""
+        i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+        root, block = (group.column(c).to_numpy() for c in ("root", "block"))
+        inside = group.column("inside").to_numpy()
+        lists = group.column("shingles").combine_chunks()
+        values, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
+        sizes = np.diff(np.concatenate([[0], ends]))
+        owner = np.repeat(np.arange(len(root)), sizes)
+        first = ~inside & (block == i)
+        second = first if i == j else ~first
+        u, v = np.flatnonzero(first), np.flatnonzero(second)
+        none = pa.table([np.empty(0, np.int64)] * 2, names=["a", "b"])
+        if not len(u) or not len(v):
+            return none
+        number = np.zeros(len(root), np.int64)
+        number[u] = np.arange(len(u))
+        a, a_owner = values[first[owner]], number[owner[first[owner]]]
+        number[v] = np.arange(len(v))
+        both = intersections(a, a_owner, len(u), values[second[owner]], number[owner[second[owner]]], len(v)).astype(np.int64)
+        near = 100 * both >= percent * (sizes[u][:, None] + sizes[v] - both)
+        near &= root[u][:, None] != root[v]
+        x, y = np.nonzero(near)
+        known, at = np.unique(root, return_inverse=True)
+        edges = np.unique(at[u[x]] * len(known) + at[v[y]])
+        low = _joined(edges // len(known), edges % len(known), len(known))
+        moved = np.flatnonzero(low != np.arange(len(known)))
+        return pa.table([known[moved], known[low[moved]]], names=["a", "b"]) if len(moved) else none
+
+    return run
+
+
+def tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between the components in the buckets of ``hubs`` members, whose full sets meet in tiles of two blocks."""
+    inside = F.col("root") == F.col("main")
+    rows = members.withColumn("inside", inside).withColumn("block", F.pmod(F.xxhash64("rep"), F.when(inside, F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+    # Tiles are (i, j) for two blocks of outsiders, i <= j, and (i, -1 - j) for outsiders and the largest component.
+    tile = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    outside = F.concat(F.transform(count("outer"), lambda k: tile(F.least("block", k), F.greatest("block", k))), F.transform(count("inner"), lambda k: tile(F.col("block"), -1 - k)))
+    tiles = F.when(inside, F.transform(count("outer"), lambda k: tile(k, -1 - F.col("block")))).otherwise(outside)
+    rows = rows.join(sets.select(F.col("id").alias("rep"), "shingles"), "rep").select("band", "root", "inside", "block", "shingles", F.explode(tiles).alias("tile"))
+    rows = rows.select("band", "tile.i", "tile.j", "root", "inside", "block", "shingles")
+    return rows.groupBy("band", "i", "j").applyInArrow(_forest(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,6 +348,14 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def merged(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found`` components (rep, root) after the edges ``more`` (a, b) between roots."""
+    roots = components(more)
+    higher = roots.select(F.col("rep").alias("root"), F.col("root").alias("top"))
+    moved = found.join(higher, "root", "left").select("rep", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(roots), "near-found")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) of every document."""
     spark = docs.sparkSession
@@ -271,50 +363,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # A row without doc_id is named by its text.
     docs = docs.withColumn("key", F.coalesce("doc_id", _name("text")))
-    signed = docs.mapInArrow(_sign(width), "doc_id long, key long, n_shingles long, digest binary, bands array<long>")
+    signed = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sign(width), "doc_id long, key long, row long, n_shingles long, digest binary, bands array<long>")
     signed = written(signed, "near-signed")
-    filled = signed.where("n_shingles > 0")
-    reps = written(filled.groupBy("digest").agg(F.min("key").alias("rep")), "near-reps")
-    nodes = written(filled.select("doc_id", "key", "n_shingles", "digest").join(reps, "digest").select("doc_id", "key", "n_shingles", "rep"), "near-nodes")
-
-    banded = filled.join(reps.select(F.col("digest").alias("d"), "rep"), (F.col("digest") == F.col("d")) & (F.col("key") == F.col("rep")))
-    banded = banded.select("rep", F.posexplode("bands").alias("no", "band"))
-    met = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n"))
-    met = written(met.where("low != high"), "near-met")
-    crowds = written(banded.join(met.where("n > 2").select("band", "low"), "band").distinct(), "near-crowds")
-    pairs = met.select(F.col("low").alias("a"), F.col("high").alias("b")).union(crowds.where("rep != low").select("low", "rep"))
-    compared = written(pairs.distinct(), "near-pairs")
-    # Every member of a bucket is in a pair: these sets serve all that follows.
-    ids = written(compared.select(F.col("a").alias("key")).union(compared.select("b")).distinct(), "near-ids")
+    filled, named = signed.where("n_shingles > 0"), not signed.where(F.col("key") >= NAMES).isEmpty()
+    # One row of each set, that of the smallest key, stands for all.
+    reps = written(filled.groupBy("digest").agg(F.min(F.struct("key", "row")).alias("rep")).select("digest", "rep.key", "rep.row"), "near-reps")
+    nodes = written(filled.select("doc_id", "key", "n_shingles", "digest").join(reps.select("digest", F.col("key").alias("rep")), "digest").select("doc_id", "key", "n_shingles", "rep"), "near-nodes")
+    empty = written(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.lit(None).cast("long").alias("key")), "near-empty")
+    banded = written(semi_join(filled, reps.select("row"), "left_semi").select(F.col("key").alias("rep"), F.col("n_shingles").alias("size"), "bands"), "near-bands")
+    discard(signed, reps)
+
+    banded = banded.select("rep", "size", F.explode("bands").alias("band"))
+    met = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"))
+    met = met.where("low != high").groupBy("low", "high", "n", "members").agg(F.min("band").alias("band"), F.count("*").alias("weight"))
+    crowds = written(banded.join(met.select("band", "weight", "low"), "band"), "near-crowds")
+    # These sets serve all that follows.
+    ids = written(crowds.select(F.col("rep").alias("key")).distinct(), "near-ids")
     texts = semi_join(docs, ids, "left_semi").select("key", "text")
-    if not signed.where(F.col("key") >= NAMES).isEmpty():  # one row is enough of those that share a name
+    if named:  # one row is enough of those that share a name
         texts = texts.where(F.col("key") < NAMES).union(texts.where(F.col("key") >= NAMES).dropDuplicates(["key"]))
-    sets = written(texts.mapInArrow(_sets(width), "id long, shingles array<long>, sketch binary"), "near-sets")
-    links = confirmed(compared, sets, percent)
+    sets = written(texts.mapInArrow(_sets(width), "id long, shingles array<long>"), "near-sets")
 
+    members = crowds.withColumns({"root": F.col("rep"), "main": F.col("low"), "hub": F.col("low")})
+    tried = written(one_each(members), "near-tried")
+    links = confirmed(tried, sets, percent).select(F.col("root").alias("a"), F.col("main").alias("b"))
     # Rows of one doc_id with different sets are one document.
     ways = nodes.select("key", "rep").distinct()
     several = ways.groupBy("key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
     same = ways.join(several, "key").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    edges = written(links.union(same), "near-edges")
-    found = components(edges)
+    found = components(links.union(same))
 
-    for turn in range(HUB_ROUNDS + 1):
+    for turn in range(1, HUB_ROUNDS + 2):
         members = written(hubs(crowds, found, turn), "near-members")
+        discard(crowds)
         if members.isEmpty():
             break
-        if turn < HUB_ROUNDS:
-            tried = members.where("root != main").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        crowds = members.select("band", "weight", "rep", "size")
+        crowds.scratch_path = members.scratch_path
+        if turn <= HUB_ROUNDS:
+            fresh = written(one_each(members, tried), "near-tried")
+            if fresh.isEmpty():
+                continue
+            more = confirmed(fresh, sets, percent).select(F.col("root").alias("a"), F.col("main").alias("b"))
+            tried = tried.unionByName(fresh)
         else:
-            tried = apart(members, sets)
-        tried = written(tried.join(compared, ["a", "b"], "left_anti").distinct(), "near-tried")
-        more = confirmed(tried, sets, percent)
-        edges, compared = edges.union(more), compared.union(tried)
-        if not more.isEmpty():
-            found = components(edges)
+            more = tiled(members, sets, percent)
+        found = merged(found, more)
+    discard(crowds, sets, ids)
 
     whole = nodes.join(found, "rep", "left").withColumn("component", F.coalesce("root", "rep"))
-    empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.lit(None).cast("long").alias("key"))
     whole = whole.select("doc_id", "n_shingles", "component", "key").union(empty)
     name = F.when(F.col("component") < NAMES, F.col("component"))  # a name made from a text is no doc_id
     return whole.select("doc_id", "n_shingles", name.alias("component_id"), (F.col("key").isNull() | (F.col("key") == F.col("component"))).alias("kept"))

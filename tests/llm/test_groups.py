@@ -104,25 +104,39 @@ def test_sketch_fills_and_estimates():
     assert (near_dup.sketch(sets[::-1])[::-1] == s).all()
 
 
-def test_apart_finds_all_close_pairs():
-    """The tile comparison keeps each near pair of different components once, in the first bucket they share."""
-    import pyarrow as pa
-
+def test_intersections():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
-    sets = []
-    for _ in range(12):
-        s = base.copy()
-        s[rng.choice(300, 25, replace=False)] = rng.integers(0, 1 << 63, 25)
-        sets.append(np.sort(s))
-    short = near_dup.sketch(sets).astype("<u2")
-    near = {(i, j) for i in range(12) for j in range(i + 1, 12) if len(np.intersect1d(sets[i], sets[j])) * 1.8 >= 0.8 * 600}
-    found = []
-    for no in range(near_dup.BANDS):
-        rows = pa.table({"band": [no] * 12, "no": [no] * 12, "main": [0] * 12, "rep": list(range(12)), "root": list(range(12)), "block": [0] * 12, "i": [0] * 12, "j": [0] * 12, "sketch": [x.tobytes() for x in short]})
-        t = near_dup._apart(rows)
-        found += list(zip(t["a"].to_pylist(), t["b"].to_pylist()))
-    assert len(found) == len(set(found)) and near <= set(found)
+    common = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    for n, n2 in ((1, 1), (30, 50), (70, 70)):
+        sides = [[np.unique(np.concatenate([rng.choice(common, 20), rng.integers(0, 300, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(m)] for m in (n, n2)]
+        flat = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x]), len(x)) for x in sides]
+        got = near_dup.intersections(*flat[0], *flat[1])
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+
+
+@pytest.mark.parametrize("blocks", [(2048, 1 << 19), (7, 1 << 19), (2048, 1500)])
+def test_crowd_at_the_threshold(docs_of, monkeypatch, blocks):
+    """A crowd whose pairs lie between 0.6 and 0.9: components as by brute force, and pairs compared in proportion to its size."""
+    monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", blocks[0])
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", blocks[1])
+    made = []
+    whole = near_dup.confirmed
+    monkeypatch.setattr(near_dup, "confirmed", lambda pairs, *rest: made.append(pairs.count()) or whole(pairs, *rest))
+    per = {}
+    for n in (150, 600) if blocks[0] == 2048 and blocks[1] > 1500 else (150,):
+        rng = random.Random(n)
+        centre = [f"c{i}" for i in range(100)]
+        rows = []
+        for d in range(n):
+            words = list(centre)
+            for at in rng.sample(range(100), rng.choice([1, 3, 3, 4, 4, 5, 6])):
+                words[at] = f"x{d}-{at}"
+            rows.append((d, " ".join(words)))
+        made.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(docs_of(rows), 2).collect()}
+        assert got == brute_components(rows, 2)
+        per[n] = sum(made) / n
+    assert max(per.values()) <= 1 + near_dup.HUB_ROUNDS
 
 
 def test_winnowing():
