@@ -10,15 +10,19 @@ without main text has only such nodes below it, a pure one only pure ones, a
 mixed one any.  So no answer for a node contradicts that for its ancestors.
 
 The ensembles are trained here on pages that ``sample_page`` makes up from
-varied layouts, where the origin of each text is known; nothing is fitted to
-the tables.
+varied layouts, a third of them with names that mean nothing, where the origin
+of each text is known; nothing is fitted to the tables.  ``python -m
+corvane.llm.html_text`` trains them and writes ``html_model.npz``; a file that
+another recipe made is not used, but trained anew.
 
 Defined results: titles, scripts, styles, templates, embedded objects and
 comments hold no text, and run to the end of the page if nothing closes them;
 the head needs no end tag, what is text in it belongs to the body; SVG and
 MathML hold no text and end at an end tag, as an empty element or where an
-element of HTML begins or ends; a line break is white space; an unclosed tag at
-the end is dropped; a null or empty page, or one without main
+element of HTML begins or ends; a line break is white space, as is any other Unicode white
+space; character references are decoded within a run of text, so that markup
+between their parts keeps them apart; quotes count in a tag only after "=" and
+if they close; a tag without ">" ends where the next "<" begins; a null or empty page, or one without main
 text, gives the empty text; repeated rows and null page_ids stay; other columns
 are ignored; an empty table gives no rows.
 """
@@ -26,10 +30,14 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
+import inspect
+import io
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +47,8 @@ from corvane.llm.common import table, tune
 
 # --- the tree -----------------------------------------------------------------
 
-_ATTRS = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
+#: What stands in a tag. No "<" outside quotes: a start that fails has read no further than the next one.
+_ATTRS = r"(?:[^<>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+"
 #: Elements that cannot stand in SVG or MathML: their tags end it, closed or not.
 _BREAKS = "html|head|body|p|h[1-6]|hgroup|hr|li|dt|dd|ul|ol|dl|menu|div|center|section|article|main|nav|header|footer|address|aside|dialog|form|fieldset|button|legend|details|table|tr|td|th|tbody|thead|tfoot|caption|blockquote|pre|listing|figure|figcaption|b|big|br|code|em|embed|i|img|meta|nobr|ruby|s|small|span|strong|strike|sub|sup|tt|u|var"
 _INNER = "|".join(rf"<{x}(?=[\s/>]){_ATTRS}>(?:(?<=/>)|.*?(?:</{x}\s*>|{end}\Z))" for names, end in (("foreignObject annotation-xml", ""), ("desc title mi mo mn ms mtext", r"(?=</(?:svg|math)\s*>)|")) for x in names.split())
@@ -52,12 +61,11 @@ _MARKUP = re.compile(
     rf"|<(?!/(?P=foreign)[\s>]|/?(?:{_BREAKS})[\s/>]))*+(?:</(?P=foreign)\s*>)?)"
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})>"
     r"|<[!?/][^>]*(?:>|\Z)"
-    r"|<[a-zA-Z][^<>]*(?:>|\Z)",
+    r"|<[a-zA-Z][^<>]*+>?",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 #: Tags by kind; a kind is a feature. Elements of other tags are inline.
 KINDS = {
@@ -66,7 +74,7 @@ KINDS = {
     "heading": ["h1", "h2", "h3", "h4", "h5", "h6", "hgroup"],
     "item": ["li", "dt", "dd"],
     "list": ["ul", "ol", "dl", "menu"],
-    "division": ["div", "center"],
+    "division": ["div", "center", "details", "summary"],
     "section": ["section"],
     "article": ["article"],
     "main": ["main"],
@@ -74,7 +82,7 @@ KINDS = {
     "header": ["header"],
     "footer": ["footer", "address"],
     "aside": ["aside", "dialog"],
-    "form": ["form", "fieldset", "button", "legend", "details"],
+    "form": ["form", "fieldset", "button", "legend"],
     "table": ["table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"],
     "quote": ["blockquote", "pre", "figure", "figcaption", "hr"],
     "page": ["html", "body"],
@@ -129,13 +137,14 @@ class Tree:
 
     def _read(self, page: str) -> None:
         tags, nodes = [""], [0]  # open block elements
+        open_: dict[str, list[int]] = {"": [0]}  # and the places of each tag among them
         buffer: list[str] = []
         linked = link_chars = 0
 
         def flush():
             nonlocal link_chars
             if buffer:
-                text = _SPACE.sub(" ", html.unescape("".join(buffer)).replace("\xa0", " ")).strip()
+                text = " ".join("".join(buffer).split())
                 buffer.clear()
                 if text:
                     i = self._add(0, nodes[-1], 0)
@@ -150,15 +159,17 @@ class Tree:
             last = len(self.kind) - 1
             while len(nodes) > to:
                 self.end[nodes.pop()] = last
-                tags.pop()
+                open_[tags.pop()].pop()
+
+        def say(piece: str):
+            buffer.append(html.unescape(piece) if "&" in piece else piece)
 
         at = 0
         for m in _MARKUP.finditer(page):
             if m.start() > at:
-                piece = page[at : m.start()]
-                buffer.append(piece)
+                say(page[at : m.start()])
                 if linked:
-                    link_chars += len(piece)
+                    link_chars += len(buffer[-1])
             at = m.end()
             tag = m["tag"]
             if tag is None:
@@ -173,19 +184,17 @@ class Tree:
                 continue
             flush()
             if m["end"]:
-                if tag in tags:
-                    close(len(tags) - 1 - tags[::-1].index(tag))
+                if open_.get(tag):
+                    close(open_[tag][-1])
                 continue
             if tag in ("html", "body"):
                 continue
             linked = 0
-            if "p" in tags:
-                close(len(tags) - 1 - tags[::-1].index("p"))
+            if open_.get("p"):
+                close(open_["p"][-1])
             for old in _CLOSES.get(tag, ()):
-                if old in tags:
-                    where = len(tags) - 1 - tags[::-1].index(old)
-                    if not any(t in _HOLDS[tag] for t in tags[where:]):
-                        close(where)
+                if open_.get(old) and not any(open_.get(t) and open_[t][-1] > open_[old][-1] for t in _HOLDS[tag]):
+                    close(open_[old][-1])
             marks = 0
             attrs = m["attrs"]
             if attrs and "=" in attrs:
@@ -195,10 +204,11 @@ class Tree:
                             marks |= 1 << _TOKEN_OF[token]
             i = self._add(kind, nodes[-1], marks)
             if tag != "hr":
+                open_.setdefault(tag, []).append(len(tags))
                 tags.append(tag)
                 nodes.append(i)
         if at < len(page):
-            buffer.append(page[at:])
+            say(page[at:])
         flush()
         close(0)
 
@@ -344,17 +354,25 @@ def _words(rng: random.Random, n: int, mark: str) -> str:
     return " ".join(out) + ("." if rng.random() < 0.8 else "")
 
 
-def sample_page(rng: random.Random) -> str:
-    """A page of a random layout; words of main text carry a mark."""
+def sample_page(rng: random.Random, strange: float = 0.3) -> str:
+    """A page of a random layout; words of main text carry a mark.
+
+    With the probability ``strange`` its names (but those of adverts) are made
+    up and say nothing of what they name.
+    """
     r = rng.random
+    odd = r() < strange
     side = lambda a, b: _words(rng, rng.randint(a, b), "")
     main = lambda a, b: _words(rng, rng.randint(a, b), _MARK)
 
     def attr(*names):
         if r() < 0.15:
             return ""
-        name = rng.choice(names) + rng.choice(["", "", "-wrap", "-box", " x1", "_2"])
-        return f' {rng.choice(["class", "class", "id"])}="{name}"'
+        return f' {rng.choice(["class", "class", "id"])}="{called(*names)}"'
+
+    def called(*names):
+        name = "".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randint(2, 7))) if odd else rng.choice(names)
+        return name + rng.choice(["", "", "-wrap", "-box", " x1", "_2"])
 
     def links(n, tag="ul"):
         items = [f'<a href="/{i}">{side(1, 3)}</a>' for i in range(n)]
@@ -369,23 +387,31 @@ def sample_page(rng: random.Random) -> str:
 
     def menu():
         n = rng.randint(3, 9)
-        return rng.choice([f"<nav{attr('nav', 'menu')}>{links(n)}</nav>", f"<div{attr('menu', 'navbar', 'navigation')}>{links(n)}</div>", f"<nav>{links(n, 'a')}</nav>", f'<ul class="menu">{links(n)[4:]}'])
+        return rng.choice([f"<nav{attr('nav', 'menu')}>{links(n)}</nav>", f"<div{attr('menu', 'navbar', 'navigation')}>{links(n)}</div>", f"<nav>{links(n, 'a')}</nav>", f'<ul class="{called("menu")}">{links(n)[4:]}'])
 
     def notice():
-        return f'<div class="{rng.choice(["cookie", "consent", "notice", "gdpr", "popup", "newsletter", "alert"])}"><p>{side(6, 40)}</p><button>{side(1, 2)}</button></div>'
+        return f'<div class="{called("cookie", "consent", "notice", "gdpr", "popup", "newsletter", "alert")}"><p>{side(6, 40)}</p><button>{side(1, 2)}</button></div>'
 
     def form():
         return f'<form{attr("search", "login", "contact", "newsletter")}><label>{side(1, 4)}</label><input name="q"><button>{side(1, 2)}</button>{"<p>" + side(4, 15) + "</p>" if r() < 0.4 else ""}</form>'
 
     def comments():
-        one = lambda: f'<{t}{attr("comment", "reply")}><p>{side(3, 60)}</p></{t}>'
         t = rng.choice(["div", "li", "article", "div"])
         tag = rng.choice(["div", "section", "aside"])
-        return f'<{tag} {rng.choice(["class", "id"])}="{rng.choice(["comments", "disqus", "respond", "discussion", "replies", "comment-list"])}"><h3>{side(1, 3)}</h3>{"".join(one() for _ in range(rng.randint(1, 7)))}</{tag}>'
+        who, reply, times = r() < 0.5, r() < 0.4, r() < 0.3
+        name = attr("comment", "reply")
+
+        def one():
+            head = rng.choice(["<b>{}</b>", "<h4>{}</h4>", "<span>{}</span>", "<div>{}</div>"]).format(side(1, 2)) if who else ""
+            when = f"<small>{rng.randint(1, 28)}.{rng.randint(1, 12)}.20{rng.randint(10, 26)} {rng.randint(0, 23)}:{rng.randint(10, 59)}</small>" if times else ""
+            return f'<{t}{name}>{head}{when}<p>{side(3, 60)}</p>{"<a href=x>" + side(1, 1) + "</a>" if reply else ""}</{t}>'
+
+        title = f"<h3>{side(1, 3)}</h3>" if r() < 0.8 else ""
+        return f'<{tag} {rng.choice(["class", "id"])}="{called("comments", "disqus", "respond", "discussion", "replies", "comment-list")}">{title}{"".join(one() for _ in range(rng.randint(1, 7)))}</{tag}>'
 
     def sidebar():
         parts = [rng.choice([f"<h3>{side(1, 4)}</h3>{links(rng.randint(2, 7))}", f"<div{attr('widget')}><h4>{side(1, 3)}</h4><p>{side(8, 50)}</p></div>", f"<p>{side(6, 40)}</p>"]) for _ in range(rng.randint(1, 4))]
-        return rng.choice([f"<aside{attr('sidebar', 'side')}>{{}}</aside>", f'<div class="{rng.choice(["sidebar", "side", "widget", "rail"])}">{{}}</div>']).format("".join(parts))
+        return rng.choice([f"<aside{attr('sidebar', 'side')}>{{}}</aside>", f'<div class="{called("sidebar", "side", "widget", "rail")}">{{}}</div>']).format("".join(parts))
 
     def article():
         parts, n = [], rng.choice([rng.randint(1, 2), rng.randint(1, 3), rng.randint(1, 5), rng.randint(3, 14), rng.randint(10, 40)])
@@ -413,11 +439,13 @@ def sample_page(rng: random.Random) -> str:
             elif x < 0.97:
                 parts.append(advert())
             elif x < 0.985:
-                parts.append(f'<div class="{rng.choice(["share", "social", "related"])}">{links(rng.randint(2, 5), rng.choice(["ul", "a"]))}</div>')
+                parts.append(f'<div class="{called("share", "social", "related")}">{links(rng.randint(2, 5), rng.choice(["ul", "a"]))}</div>')
             else:
                 parts.append(form())
         if r() < 0.2:
             parts.append(f"<div{attr('content', 'text')}>{main(10, 120)}</div>")
+        if r() < 0.08:
+            parts.append(f"<details><summary>{main(1, 6)}</summary>{main(3, 40)}</details>")
         inner = "".join(parts)
         if r() < 0.2:
             inner = f"<div{attr('entry', 'text', 'body')}>{inner}</div>"
@@ -428,11 +456,11 @@ def sample_page(rng: random.Random) -> str:
     top = [maybe(0.25, notice), rng.choice(["<header{}>{}{}</header>", "<div{}>{}{}</div>"]).format(attr("header", "masthead", "topbar"), maybe(0.7, lambda: f"<h2>{side(1, 4)}</h2>"), maybe(0.7, menu)) if r() < 0.6 else menu(), maybe(0.4, advert), maybe(0.2, form)]
     if r() < 0.4:
         rng.shuffle(top)
-    crumbs = maybe(0.2, lambda: f'<div class="breadcrumbs">{links(3, "a")}</div>')
+    crumbs = maybe(0.2, lambda: f'<div class="{called("breadcrumbs")}">{links(3, "a")}</div>')
     columns = [crumbs + article() + maybe(0.3, comments), maybe(0.5, sidebar)]
     if r() < 0.25:
         columns.reverse()
-    after = [maybe(0.15, comments), maybe(0.25, advert), maybe(0.25, lambda: f'<section class="related"><h3>{side(1, 3)}</h3>{links(rng.randint(2, 6))}</section>'), maybe(0.15, form)]
+    after = [maybe(0.15, comments), maybe(0.25, advert), maybe(0.25, lambda: f'<section class="{called("related")}"><h3>{side(1, 3)}</h3>{links(rng.randint(2, 6))}</section>'), maybe(0.15, form)]
     foot = maybe(0.85, lambda: rng.choice(["<footer{}>{}</footer>", "<div{}>{}</div>"]).format(attr("footer", "copyright", "bottom"), rng.choice([f"&copy; {side(1, 2)} &middot; {side(2, 14)}", f"&copy; {side(2, 20)}", side(3, 25), f"<p>{side(3, 30)}</p>", links(4, "a") + side(2, 8), f"<p>{side(3, 20)}</p>{links(5)}"])))
     body = "".join(top) + "".join(columns) + "".join(after) + foot + maybe(0.15, notice)
     if r() < 0.5:
@@ -459,8 +487,17 @@ def _labels(trees: list[Tree]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(some, float), np.array(pure, float)
 
 
-@functools.lru_cache(maxsize=1)
-def trained(pages: int = 1500, seed: int = 11) -> tuple[Boosted, Boosted]:
+MODEL = Path(__file__).with_name("html_model.npz")
+_PARTS = ("feature", "cut", "value")
+
+
+def recipe(pages: int, seed: int) -> str:
+    """What the ensembles depend on, hashed."""
+    code = [inspect.getsource(x) for x in (Tree, node_features, Boosted, sample_page, _words, _labels, fit)]
+    return hashlib.sha256("\n".join([*code, _MARKUP.pattern, str((KINDS, TOKENS, pages, seed))]).encode()).hexdigest()
+
+
+def fit(pages: int, seed: int) -> tuple[Boosted, Boosted]:
     """The two ensembles, trained on made-up pages."""
     rng = random.Random(seed)
     trees = [Tree(sample_page(rng)) for _ in range(pages)]
@@ -470,6 +507,28 @@ def trained(pages: int = 1500, seed: int = 11) -> tuple[Boosted, Boosted]:
     return Boosted().fit(x[keep], some[keep]), Boosted().fit(x[keep & (some > 0)], pure[keep & (some > 0)])
 
 
+def save(models: tuple[Boosted, Boosted], made_by: str) -> bytes:
+    out = io.BytesIO()
+    parts = {f"{p}{i}": getattr(m, p) for i, m in enumerate(models) for p in _PARTS}
+    np.savez_compressed(out, made_by=made_by, start=[m.start for m in models], **parts)
+    return out.getvalue()
+
+
+@functools.lru_cache(maxsize=1)
+def trained(pages: int = 2000, seed: int = 11) -> tuple[Boosted, Boosted]:
+    """The two ensembles, from the file if it has this recipe, or else trained now."""
+    if MODEL.exists():
+        with np.load(MODEL) as held:
+            if str(held["made_by"]) == recipe(pages, seed):
+                models = Boosted(), Boosted()
+                for i, m in enumerate(models):
+                    m.start = float(held["start"][i])
+                    for p in _PARTS:
+                        setattr(m, p, held[f"{p}{i}"])
+                return models
+    return fit(pages, seed)
+
+
 # --- decoding ---------------------------------------------------------------------
 
 
@@ -544,3 +603,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+if __name__ == "__main__":
+    from corvane.llm import html_text
+
+    MODEL.write_bytes(html_text.save(html_text.fit(2000, 11), html_text.recipe(2000, 11)))
