@@ -48,6 +48,8 @@ MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2500, 20_000
 FIELD_DOCS = 500
 #: Shared part of two documents' words (intersection over union) from which one family holds them.
 ALIKE = 0.5
+#: Only marginals above this are summed: the others would grow with a text's length alone.
+FLOOR = 0.5
 THRESHOLD = 0.3
 _TOKEN = re.compile(r"\w+")
 _WIDTH = 256
@@ -167,6 +169,11 @@ def marginals(emissions: list[np.ndarray], trans: np.ndarray, plain: float | Non
 # --- the model ----------------------------------------------------------------
 
 
+def summary(p: np.ndarray) -> tuple[float, float, float]:
+    """What calibration sees of a document: a constant, its largest marginal, and the sum of those above the floor."""
+    return 1.0, float(p.max()) if len(p) else 0.0, math.log1p(float(p[p > FLOOR].sum()))
+
+
 @dataclass
 class Field:
     """Weights of a fitted field; small enough to travel with each task."""
@@ -197,9 +204,8 @@ class Field:
 
     def score(self, p: np.ndarray) -> float:
         """A document's probability from its tokens' marginals."""
-        a, b, c = self.calibration
-        top, total = (float(p.max()), float(p.sum())) if len(p) else (0.0, 0.0)
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, a + b * top + c * math.log1p(total)))))
+        x = sum(c * v for c, v in zip(self.calibration, summary(p), strict=True))
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
 
     @staticmethod
     def spans(text: str, p: np.ndarray) -> list[dict]:
@@ -357,7 +363,7 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float] | None
     model.bias, model.trans = float(weight[-1]), trans.tolist()
     # Logistic calibration of the documents' scores by Newton's method.
     p = model.marginals(texts)
-    x = np.array([[1, q.max() if len(q) else 0, math.log1p(q.sum()) if len(q) else 0] for q in p])
+    x = np.array([summary(q) for q in p])
     # The documents left of a label stand for those of their families as well.
     shares = np.array(shares or (1.0, 1.0)) * sampled / np.bincount(y, minlength=2)
     worth = shares[y]
@@ -384,13 +390,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Field:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # Of the rows of a doc_id the smallest text counts; too long ones are left out before the sample is drawn.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_CHARS)
+    there = known.join(rows.select("doc_id"), "doc_id", "left_semi")
     chosen = None
     for value, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
-        part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = there.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= MAX_CHARS)
     # At most MAX_TOXIC + MAX_CLEAN ids are broadcast.
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect()
+    sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).collect()
     sample.sort()
     got = [sum(r["toxic"] == v for r in sample) for v in (0, 1)]
     shares = tuple(sizes.get(v, 0) / max(1, got[v]) for v in (0, 1))
