@@ -166,11 +166,15 @@ def pieces(model: str, scores: str = "zipf") -> Pieces:
     return Pieces(model, scores)
 
 
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("restored", pa.bool_())])
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("restored", pa.bool_()), ("exact", pa.bool_())])
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, scores: str = "zipf") -> DataFrame:
-    """doc_id, n_tokens, ids and restored (decoding the ids gives the text) of every whole text."""
+    """doc_id, n_tokens, ids, restored and exact of every whole text.
+
+    Decoding the ids gives the text, character for character (exact), or but
+    for space marks (U+2581), which stand for spaces in every piece (restored).
+    """
     tune(docs.sparkSession)
     if model is None:
         import public_tokenizers
@@ -184,13 +188,15 @@ def encode_documents(docs: DataFrame, model: str | None = None, scores: str = "z
                 part = batch.slice(at, 500)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = coder.encode(texts)
-                same = [a == b.replace(MARK, " ") for a, b in zip(coder.decode(ids), texts, strict=True)]
+                back = coder.decode(ids)
+                same = [a == b.replace(MARK, " ") for a, b in zip(back, texts, strict=True)]
+                exact = [a == b for a, b in zip(back, texts, strict=True)]
                 ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(same, pa.bool_())], schema=_ENCODED)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(same, pa.bool_()), pa.array(exact, pa.bool_())], schema=_ENCODED)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, restored boolean")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, restored boolean, exact boolean")
 
 
 def decode_documents(encoded: DataFrame, model: str, scores: str = "zipf") -> DataFrame:
