@@ -5,7 +5,7 @@ sorted and hashed; the hash selects a declarative mapping (``LAYOUTS``) to an
 array of canonical turns (role, text).  A table's fingerprint comes from its
 schema; rows of JSON text are fingerprinted one by one, so layouts may be mixed
 in one table.  If no layout has just these paths, the largest one among them is
-taken.  Everything is DataFrame functions.
+taken, by its own hash.  Everything is DataFrame functions.
 
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside
 roles and texts a run "<", backslashes, "|" gets one more backslash, so that no
@@ -98,15 +98,18 @@ def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
 
 
 def layout_of(schema: T.StructType) -> Layout:
-    """The layout that a table's schema selects, columns outside the vocabulary left out."""
+    """The layout that a table's schema selects, by the hash of its paths in the vocabulary.
+
+    Where these have no layout of their own, the layouts among them are looked
+    up by their hashes in turn, the largest first.
+    """
     paths = set(schema_paths(schema))
-    found = BY_FINGERPRINT.get(fingerprint(paths & VOCABULARY))
-    if found is None:
-        inside = [x for x in LAYOUTS if set(x.paths) <= paths]
-        if not inside:
-            raise ValueError(f"no layout for the paths {sorted(paths)}")
-        found = max(inside, key=lambda x: len(x.paths))
-    return found
+    inside = sorted((x.paths for x in LAYOUTS if set(x.paths) <= paths), key=len, reverse=True)
+    for some in (paths & VOCABULARY, *inside):
+        found = BY_FINGERPRINT.get(fingerprint(some))
+        if found is not None:
+            return found
+    raise ValueError(f"no layout for the paths {sorted(paths)}")
 
 
 def _role(c: Column) -> Column:
