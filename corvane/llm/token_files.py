@@ -16,6 +16,7 @@ an empty table gives no files and no rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -119,10 +120,23 @@ def _pack(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+#: Settings that the cuts below are right for; a file with any others is encoded by whole texts.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CUTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
     """The ``tokenizers`` library's ids of whole texts, one call for each distinct piece.
 
-    The tokenizer replaces runs of white space by one and lets no token cross
+    Where the file's normalizer and pre-tokenizer are those above, texts are
+    cut; with any others the library gets whole texts.  The former replaces runs of white space by one and lets no token cross
     it nor the cuts of its pattern, so a text's ids are those of its pieces in
     turn.  A text of ASCII and precomposed Latin-1 letters is cut as the
     tokenizer's own pattern cuts it (normal form and lower-casing are plain
@@ -136,6 +150,9 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        self.known = made.get("normalizer") == _NORMALIZER and made.get("pre_tokenizer") == _CUTS
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -148,6 +165,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.known:
+            return self._run(self.full, texts)
         plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
         cut = [_PIECE.findall(t.lower()) if p else None if _ODD.search(t) else t.split() for t, p in zip(texts, plain, strict=True)]
         self.pieces.fill(*[c for c, p in zip(cut, plain, strict=True) if p])
