@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.llm.common import table, tune
 
-K = 24
-W = 32
+K = 12
+W = 16
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Grams of one numpy block: bounds memory for texts of any length.
