@@ -12,9 +12,9 @@ Poisson counts is one), so that exp(-mean) never vanishes.
 Without weights, a source's weight is proportional to its rows to the power
 ``ALPHA``: large sources are seen less than once, small ones more often.
 
-Defined results: a null source is a source of its own; a null doc_id counts as
-the text "null"; rows that repeat a doc_id get the same count each; a null
-text is kept; a source without a weight, or with a null or negative one, has
+Defined results: a null source is a source of its own; a row without doc_id is
+drawn by the hash of its text; rows that repeat a doc_id (or, without one, a
+text) get the same count each; a null text is kept; a source without a weight, or with a null or negative one, has
 weight 0; an empty table gives no rows; columns of the same names as the added
 ones are replaced, all others stay.
 """
@@ -33,6 +33,11 @@ BROADCAST_SOURCES = 4096
 SALTS = 64
 
 
+def _name() -> F.Column:
+    """What a row is drawn by: its doc_id, else its text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("="), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+
+
 def _uniform(*parts) -> F.Column:
     """A number in [0, 1): the first 52 bits of a hash."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
@@ -74,19 +79,19 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: float
     if rates.count() <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(rates), "mix_source")
     else:  # a hot source is spread over the salts
-        rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64(_name()), F.lit(SALTS)).cast("int"))
         rates = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.join(rates, ["mix_source", "mix_salt"]).drop("mix_salt")
 
     def draw(j):
         """The count of part j; the hash is bound to a variable, so it is taken once and not for each term."""
-        u = _uniform(F.lit(seed), F.col("doc_id"), j)
+        u = _uniform(F.lit(seed), _name(), j)
         return F.element_at(F.transform(F.array(u), lambda x: F.size(F.filter("cdf", lambda c: x >= c))), 1)
 
     rest = F.aggregate(F.when(F.col("parts") > 1, F.sequence(F.lit(2), F.col("parts"))).otherwise(F.array().cast("array<int>")), F.lit(0), lambda a, j: a + draw(j))
     rows = rows.withColumn("n_copies", (draw(F.lit(1)) + rest).cast("int")).where("n_copies > 0").drop("cdf", "parts", "mix_source")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    rows = rows.withColumn("shuffle_key", _uniform(F.lit(seed + 1), F.col("doc_id"), F.col("copy")))
+    rows = rows.withColumn("shuffle_key", _uniform(F.lit(seed + 1), _name(), F.col("copy")))
     # A hash deals the copies out and a sort orders each part: together a random order of all.
     return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
