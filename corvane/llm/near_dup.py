@@ -49,7 +49,7 @@ from corvane.llm.common import Memo, discard, table, tune, written
 ROWS, BANDS = 6, 56
 COORDINATES = ROWS * BANDS
 #: Up to this many doc_ids (8 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 100_000
 #: Rounds that compare outsiders with a member of their bucket's largest component, before tiles.
 HUB_ROUNDS = 2
 #: Most members and most shingles of a block, two of which meet in a tile (on average, as blocks are drawn by hash).

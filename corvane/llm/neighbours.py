@@ -9,7 +9,10 @@ scales differ from the true inner product of x and y by at most
 reaches the query's k-th best lower bound so far are computed in double
 precision on the original vectors, one dimension after the other, and kept in
 a heap for each query; the heaps of a query's tiles are merged at last.  No
-neighbour can be lost, so recall is 1.
+neighbour can be lost, so recall is 1.  Every candidate is sent once for each
+``TILE_QUERIES`` queries and every query once for each ``TILE_CANDIDATES``
+candidates: as queries are a share of the vectors, the join's work grows with
+the square of the table, spread over as many tasks as there are tiles.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite
 components take no part, nor does a null vec_id; rows that repeat a vec_id

@@ -94,6 +94,16 @@ def test_drop_near_duplicates_without_ids(docs_of):
     assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(None, 6, False), (6, 6, True)}
 
 
+def test_very_long_texts(docs_of):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    near = words[:200] + ["new"] * 40 + words[240:]
+    far = words[:30_000] + [f"v{i}" for i in range(30_000)]
+    rows = [(3, " ".join(words)), (1, " ".join(near)), (2, " ".join(far)), (4, "x" * 2_000_000), (5, "x" * 2_000_000 + " y")]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs_of(rows), 2).collect()}
+    assert got == {3: 1, 1: 1, 2: 2, 4: 4, 5: 5}
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 2000).astype(np.uint64)

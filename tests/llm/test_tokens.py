@@ -76,10 +76,43 @@ def test_counts_equal_the_library():
     assert len(counter.whole) > 10_000
 
 
+def test_other_tokenizers_get_whole_texts():
+    """A tokenizer with other cuts is encoded as the library does, not by the cuts of the first one."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, texts = token_files.WordEncoder(path), noise(200, 8) + ["Plain Words, with Capitals  and spaces\n"]
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert not coder.known and token_files.WordEncoder(WORDS).known
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == [e.ids for e in want]
+
+
+def test_proof():
+    """The proof holds for one file: its settings are read, and another file's checksum is refused."""
+    data = open(PIECES, "rb").read()
+    assert token_counts.normalizer(data)[1] == b"identity" and token_counts.normalizer(data)[4] == 0
+    proof = token_counts.prove(PIECES)
+    with pytest.raises(ValueError):
+        token_counts.Counter(PIECES, token_counts.Proof(proof.checksum + 1, proof.whole))
+
+
+def test_proof_refuses_other_settings(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    for name, value in (("remove_extra_whitespaces", True), ("name", "nmt_nfkc"), ("add_dummy_prefix", False)):
+        proto = pb.ModelProto()
+        proto.ParseFromString(open(PIECES, "rb").read())
+        setattr(proto.normalizer_spec, name, value)
+        (tmp_path / name).write_bytes(proto.SerializeToString())
+        with pytest.raises(ValueError):
+            token_counts.prove(str(tmp_path / name))
+
+
 def test_counts_table(docs_of):
     got = token_counts.count_tokens(docs_of([(1, None), (2, "a é"), (2, "a é"), (None, "x")], "7 as n_tokens"), PIECES, limit=2).orderBy("doc_id").collect()
     assert [(r.doc_id, r.n_bytes, r.over_limit) for r in got] == [(None, 1, False), (1, 0, False), (2, 4, False), (2, 4, False)]
     assert got[1].n_tokens == 0
+    assert token_counts.count_tokens(docs_of([(1, "x")]).where("false"), PIECES).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -114,6 +147,6 @@ def test_pieces_round_trip(docs_of, spark):
     assert coder.decode(coder.encode(texts)) == texts
     table = pieces.encode_documents(docs_of([(1, "round trip"), (None, None), (1, "round trip"), (3, "a▁b")], "3 as ids"))
     got = table.orderBy("doc_id").collect()
-    assert all(r.restored and r.n_tokens == len(r.ids) for r in got)
+    assert all(r.restored and r.n_tokens == len(r.ids) and r.exact == (r.doc_id != 3) for r in got)
     assert pieces.decode_documents(table, PIECES).where("doc_id = 3").first().text == "a b"
     assert pieces.encode_documents(docs_of([(1, "x")]).where("false")).count() == 0
