@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a table that is written as Parquet and read again for the next.
 All but the last return the columns of ``documents``.
+
+Defined results: a null text is an empty one and stays through all stages, as
+do rows without doc_id, which are compared by their texts; rows that repeat
+both doc_id and text are one from the second stage on, different texts of one
+doc_id are documents of their own; a null source is a source; a text of any
+length is read whole; further columns, whatever their names, pass through to
+the last stage, which returns doc_id and ids alone; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
