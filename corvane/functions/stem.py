@@ -16,7 +16,7 @@ DERIVED = {
     "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
 }
 FORMED = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-LOST = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+LOST = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def _longest_first(table: dict[str, str]) -> list[tuple[bytes, bytes]]:

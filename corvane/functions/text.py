@@ -7,18 +7,13 @@ from pyspark.sql import Column, functions as F
 WORD = r"([\p{L}\p{Nd}_]+)"
 
 # The stop words.
-STOPWORDS = """
-a an and are as at be by for
-from has he in is it its of on
-that the to was were will with this
-have had but not you your we our
-they their she her his if or so
-no can do does did been being would
-could should may might must shall which
-who whom what when where why how all
-each every both few more most other
-some such than too very just also
-""".split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was",
+    "were", "will", "with", "this", "have", "had", "but", "not", "you", "your", "we", "our", "they", "their", "she", "her", "his", "if", "or", "so",
+    "no", "can", "do", "does", "did", "been", "being", "would", "could", "should", "may", "might", "must", "shall", "which", "who", "whom", "what",
+    "when", "where", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "than", "too", "very", "just",
+    "also",
+]
 
 # Languages by file extension.
 LANGUAGES = {
@@ -58,16 +53,28 @@ def split_words(text) -> Column:
     return F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(WORD), F.lit(1))
 
 
+def _no_tokens() -> str:
+    """A pattern of words that are no tokens: stop words, whatever their case, and words of one byte when lower-cased."""
+    by_first: dict[str, list[str]] = {}
+    for w in STOPWORDS:
+        by_first.setdefault(w[0], []).append(w[1:])
+    stops = "|".join(f"{first}(?:{'|'.join(rests)})" for first, rests in sorted(by_first.items()))
+    return rf"(?:(?i:{stops})|[A-Za-z0-9_\u212A])(?![\p{{L}}\p{{Nd}}_])"
+
+
+#: What is no token is consumed and leaves an empty group.
+TOKEN = rf"{_no_tokens()}|{WORD}"
+
+
 def tokenize(text) -> Column:
     """Lower-cased words of at least two bytes that are no stop words, in order, with repeats."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    lowered = F.transform(split_words(text), F.lower)
-    return F.filter(lowered, lambda w: (F.octet_length(w) >= 2) & ~F.array_contains(stop, w))
+    words = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(TOKEN), F.lit(1))
+    return F.transform(F.array_remove(words, ""), F.lower)
 
 
 def count_tokens(text) -> Column:
     """The token estimate: 1.3 for each raw word, rounded down."""
-    return F.floor(F.size(split_words(text)) * 13 / F.lit(10)).cast("int")
+    return F.floor(F.regexp_count(F.coalesce(_col(text), F.lit("")), F.lit(WORD)) * 13 / F.lit(10)).cast("int")
 
 
 def simple_tokens(text) -> Column:
@@ -137,8 +144,22 @@ def line_range(start, end) -> Column:
     return F.format_string("L%d-%d", _col(start), _col(end))
 
 
+def two_digits(number) -> Column:
+    """A number with two digits, rounded half to even from its exact binary value."""
+    c = _col(number).cast("double")
+    size = F.when((F.abs(c) >= 2.0**-8) & (F.abs(c) < 2.0**50), F.abs(c))
+    shift = (53 - F.floor(F.log2(size))).cast("int")  # makes the size whole
+    unit = F.call_function("shiftleft", F.lit(1).cast("long"), shift).cast("decimal(19,0)")
+    hundred = (size * F.pow(F.lit(2.0), shift)).cast("long").cast("decimal(19,0)") * F.lit(100).cast("decimal(3,0)")
+    down = F.call_function("div", hundred, unit)
+    rest = (hundred - down.cast("decimal(18,0)") * unit) * F.lit(2).cast("decimal(1,0)")
+    cents = down + F.when((rest > unit) | ((rest == unit) & (down % 2 == 1)), 1).otherwise(0)
+    text = F.concat(F.when(c < 0, "-").otherwise(""), F.call_function("div", cents, F.lit(100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.coalesce(text, F.format_string("%.2f", c))
+
+
 def why(score) -> Column:
-    return F.format_string("BM25 score: %.2f", _col(score))
+    return F.concat(F.lit("BM25 score: "), two_digits(score))
 
 
 def short_path(path) -> Column:
@@ -148,17 +169,19 @@ def short_path(path) -> Column:
 
 
 def format_number(n) -> Column:
-    """Counts with k and M."""
+    """Counts in whole thousands (k) and millions (M)."""
     c = _col(n)
-    return F.when(c >= 1_000_000, F.format_string("%.1fM", c / 1e6)).when(c >= 1000, F.format_string("%.1fk", c / 1e3)).otherwise(c.cast("string"))
+    whole = lambda size, unit: F.concat(F.floor(c / size).cast("long").cast("string"), F.lit(unit))
+    return F.when(c >= 1_000_000, whole(1_000_000, "M")).when(c >= 1000, whole(1000, "k")).otherwise(c.cast("string"))
 
 
 def format_duration(seconds) -> Column:
-    """Whole seconds, minutes and seconds, or hours and minutes."""
+    """Less than a second, whole seconds, minutes and seconds, or hours and minutes."""
     c = _col(seconds).cast("long")
     part = lambda unit, size: F.concat(F.floor(c / size).cast("string"), F.lit(unit))
     return (
-        F.when(c < 60, F.concat(c.cast("string"), F.lit("s")))
+        F.when(_col(seconds) < 1, F.lit("<1s"))
+        .when(c < 60, F.concat(c.cast("string"), F.lit("s")))
         .when(c < 3600, F.concat(part("m", 60), (c % 60).cast("string"), F.lit("s")))
         .otherwise(F.concat(part("h", 3600), F.floor(c % 3600 / 60).cast("string"), F.lit("m")))
     )
