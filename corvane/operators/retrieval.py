@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions import stem, text as tx, vector
@@ -15,13 +17,22 @@ from corvane.operators import index
 
 #: A side of at most so many rows is broadcast; a larger one is joined by a shuffle.
 SMALL_ROWS = 20_000
+#: So many query vectors at most are sent to every vector; more are compared in tiles of so many queries and vectors.
+MOST_QUERIES, TILE = 2000, 4096
+#: Stands among the wanted terms for the passage itself: no token is empty.
+ITSELF = ""
 #: Sums of parts in any order agree to so many digits: equal passages get equal scores and an order by id.
 DIGITS = 9
 
 
+def is_small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
+    """Whether counting finds at most so many rows."""
+    return df.limit(most + 1).count() <= most
+
+
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """``df`` with a broadcast hint, if counting finds it small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -50,53 +61,112 @@ def path_boost(path: Column, terms: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(tx.path_tokens(path), lambda t: F.array_contains(terms, t))), F.size(terms)), F.lit(0.0))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, path_weight: float = 0.0, stemming: bool = False, posted: DataFrame | None = None) -> DataFrame:
-    """The k best passages of each query by BM25, boosted by path parts.
+def term_hits(chunks: DataFrame, terms: DataFrame, few: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+    """term, chunk_id, dl, tf and the columns ``keep`` of the wanted terms (broadcast if ``few``), and a row of the term ``ITSELF`` for every passage.
 
-    Only the queries' terms leave the token arrays: the terms are joined before
-    anything is aggregated.  ``posted`` takes stored postings instead.
+    One pass over the passages gives all that scoring needs; only the rows of
+    wanted terms leave it, counted before they are shuffled.
+    """
+    wanted = terms.select("term").union(terms.sparkSession.createDataFrame([(ITSELF,)], "term string")).distinct()
+    rows = chunks.where("chunk_id is not null").select("chunk_id", *keep, F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(ITSELF)))).alias("term"))
+    return rows.join(F.broadcast(wanted) if few else wanted, "term").groupBy("term", "chunk_id", "dl", *keep).agg(F.count("*").alias("tf"))
+
+
+def totals_of(hits: DataFrame) -> DataFrame:
+    """One row: passages and their mean tokens, from the rows of ``ITSELF``."""
+    own = lambda c: F.sum(F.when(F.col("term") == ITSELF, c)).cast("double")  # noqa: E731  a filter would part this from the other uses of hits
+    return hits.agg(own(F.col("tf")).alias("total"), F.coalesce(F.try_divide(own(F.col("dl") * F.col("tf")), own(F.col("tf"))), F.lit(0.0)).alias("mean"))
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, path_weight: float = 0.0, stemming: bool = False, posted: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The k best passages of each query by BM25, boosted by path parts, with the columns ``keep`` of the passages.
+
+    The passages are read once: frequencies, totals and scores all come from
+    the counted hits of the wanted terms, whose shuffle Spark reuses.  What is
+    broadcast is bounded by the queries' own terms.  ``posted`` takes stored
+    postings instead.
     """
     terms = query_terms(queries, stemming)
-    wanted = terms.select("term").distinct()
-    size = F.size("tokens") if "tokens" in chunks.columns else F.col("dl")
+    few = is_small(terms)
+    hint = F.broadcast if few else lambda df: df
+    carried = tuple(dict.fromkeys((*keep, "path") if path_weight else keep))
     if posted is None:
-        hits = chunks.select("chunk_id", size.alias("dl"), F.explode("tokens").alias("term")).join(small(wanted), "term")
-        hits = hits.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+        hits = term_hits(chunks, terms, few, carried)
+        totals = totals_of(hits)
     else:
-        hits = posted.join(small(wanted), "term").join(chunks.select("chunk_id", size.alias("dl")), "chunk_id")
-    n_terms = hits.groupBy("term").agg(F.count("*").alias("n_term"))
-    totals = index.stats(chunks).first()
-    weighted = terms.join(n_terms, "term").withColumn("idf", idf(F.lit(float(totals["total_chunks"])), F.col("n_term")))
-    part = F.col("qtf") * F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.lit(float(totals["avg_chunk_len"])), k1, b)
-    scored = hits.join(small(weighted), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+        rows = chunks.select("chunk_id", *carried, (F.size("tokens") if "dl" not in chunks.columns else F.col("dl")).alias("dl"))
+        hits = posted.join(hint(terms.select("term").distinct()), "term").join(rows, "chunk_id")
+        totals = index.stats(chunks).select(F.col("total_chunks").cast("double").alias("total"), F.col("avg_chunk_len").alias("mean"))
+    freq = hits.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("n_term"))
+    weighted = terms.join(freq, "term").crossJoin(F.broadcast(totals)).withColumn("idf", idf(F.col("total"), F.col("n_term")))
     if path_weight:
         sets = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
-        scored = scored.join(small(sets), "query_id").join(chunks.select("chunk_id", "path"), "chunk_id")
+        weighted = weighted.join(sets, "query_id")
+    part = F.col("qtf") * F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("mean"), k1, b)
+    scored = hits.join(hint(weighted), "term").groupBy("query_id", "chunk_id", *carried, *(["terms"] if path_weight else [])).agg(F.round(F.sum(part), DIGITS).alias("score"))
+    if path_weight:
         scored = scored.withColumn("score", F.col("score") * (1 + path_boost(F.col("path"), F.col("terms")) * path_weight))
-    return top(scored.select("query_id", "chunk_id", "score"), k)
+    return top(scored.select("query_id", "chunk_id", *keep, "score"), k)
 
 
-def single_chunk_bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def single_chunk_bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.2, b: float = 0.75, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores of pairs in which every term counts as held by one passage alone."""
-    totals = index.stats(chunks).first()
     terms = query_terms(queries)
-    hits = chunks.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(small(terms), "term")
-    hits = hits.groupBy("query_id", "chunk_id", "term", "qtf", "dl").agg(F.count("*").alias("tf"))
-    part = F.col("qtf") * idf(F.lit(float(totals["total_chunks"])), F.lit(1.0)) * saturation(F.col("tf"), F.col("dl"), F.lit(float(totals["avg_chunk_len"])), k1, b)
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    few = is_small(terms)
+    hits = term_hits(chunks, terms, few, keep)
+    rows = hits.join(F.broadcast(terms) if few else terms, "term").crossJoin(F.broadcast(totals_of(hits)))
+    part = F.col("qtf") * idf(F.col("total"), F.lit(1.0)) * saturation(F.col("tf"), F.col("dl"), F.col("mean"), k1, b)
+    return rows.groupBy("query_id", "chunk_id", *keep).agg(F.sum(part).alias("score"))
+
+
+def with_columns_of(found: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, *columns: str) -> DataFrame:
+    """``found``, k rows at most of each query, with columns of its passages; few enough rows are sent to the passages."""
+    return chunks.select("chunk_id", *columns).join(F.broadcast(found) if is_small(queries, SMALL_ROWS // k) else found, "chunk_id")
 
 
 def vector_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k vectors of largest cosine for each query vector; raises if the dimensions differ.
 
-    The query side is a stated set, sent to every vector if it is small.
+    A few queries are sent to every vector.  More are cut into blocks, as the
+    vectors are, and each pair of blocks meets in one task, which gives back
+    the k best of its queries; that ships a vector once for every block of
+    queries and a query once for every block of vectors.
     """
-    pairs = vectors.select("id", "vector").join(small(queries.select("query_id", F.col("vector").alias("q")), 2000), F.lit(True), "inner")
+    if not is_small(queries, MOST_QUERIES):
+        return top(_tiles(queries, vectors, k), k)
+    pairs = vectors.select("id", "vector").join(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))), F.lit(True), "inner")
     same = F.size("q") == F.size("vector")
     score = F.when(F.assert_true(same, "the query has another dimension than the vectors").isNull(), vector.cosine("q", "vector"))
     return top(pairs.select("query_id", F.col("id").alias("chunk_id"), score.alias("score")), k)
 
 
+def _tiles(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id and score of each query's k best in every block of vectors."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    across, down = (-(-df.count() // TILE) for df in (queries, vectors))
+    if not down:
+        return queries.sparkSession.createDataFrame([], f"query_id {kind}, chunk_id string, score double")
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), block("query_id", across).alias("i"), every(down).alias("j"))
+    right = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"), every(across).alias("i"), block("id", down).alias("j"))
+
+    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        if len({*map(len, q["vector"]), *map(len, v["vector"])}) > 1:
+            raise ValueError("the query has another dimension than the vectors")
+        a, b = np.stack(q["vector"]), np.stack(v["vector"])
+        norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+        cos = np.where(norm > 0, a @ b.T / np.where(norm > 0, norm, 1), 0.0).round(12)
+        ids = v["id"].to_numpy()
+        place = np.lexsort((np.broadcast_to(ids, cos.shape), -cos), axis=1)[:, :k]
+        rows = np.repeat(np.arange(len(q)), place.shape[1])
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "chunk_id": ids[place.ravel()], "score": cos[rows, place.ravel()]})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"query_id {kind}, chunk_id string, score double")
+
+
 def vector_subset(queries: DataFrame, vectors: DataFrame, candidates: DataFrame) -> DataFrame:
     """Cosines of the given (query_id, chunk_id) pairs; those without a vector are left out."""
     found = candidates.select("query_id", "chunk_id").join(vectors.select(F.col("id").alias("chunk_id"), "vector"), "chunk_id")
@@ -123,13 +193,19 @@ def blend(keyword: DataFrame, cosines: DataFrame, weight: float = 0.5) -> DataFr
 def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, weight: float = 0.5, **options) -> DataFrame:
     """BM25 candidates, max(10 k, 50) of each query, blended with their cosines.
 
-    Queries (query_id, text, vector) without a keyword hit take vectors alone.
+    Queries (query_id, text, vector) without a keyword hit take vectors alone;
+    those whose vector is null, as their embedding failed, keep their BM25
+    scores.  The candidates, a bounded list of each query, are kept for their
+    several uses.
     """
-    keyword = bm25(queries, chunks, max(10 * k, 50), **options)
-    mixed = blend(keyword, vector_subset(queries, vectors, keyword), weight)
-    missed = queries.join(keyword.select("query_id").distinct(), "query_id", "left_anti")
+    keyword = bm25(queries, chunks, max(10 * k, 50), **options).select("query_id", "chunk_id", "score").persist()
+    known = queries.where("vector is not null")
+    here = known.select("query_id")
+    mixed = blend(keyword.join(here, "query_id", "left_semi"), vector_subset(known, vectors, keyword), weight)
+    plain = keyword.join(here, "query_id", "left_anti").select("query_id", "chunk_id", "score")
+    missed = known.join(keyword.select("query_id").distinct(), "query_id", "left_anti")
     alone = semantic(missed, vectors, chunks, k).select("query_id", "chunk_id", "score")
-    return top(mixed.unionByName(alone), k)
+    return top(mixed.unionByName(plain).unionByName(alone), k)
 
 
 def reciprocal_ranks(*rankings: DataFrame, rrf_k: int = 60) -> DataFrame:
@@ -144,18 +220,24 @@ def reciprocal_ranks(*rankings: DataFrame, rrf_k: int = 60) -> DataFrame:
 def hyde(queries: DataFrame, generate: Callable[[str], str], embed: Callable[[list[str]], list[list[float]]], vectors: DataFrame, chunks: DataFrame, k: int, fallback: bool = False) -> DataFrame:
     """Semantic search for a passage that a language model writes; with ``fallback`` for the query itself if it fails.
 
-    The queries are a handful of user questions: they pass through the driver.
+    The models are asked where the queries are, a partition at a time.
     """
-    rows = []
-    for row in queries.select("query_id", "text").collect():
-        try:
-            said = generate(f"Write a short passage that answers this question.\n\n{row['text']}")
-        except Exception:
-            if not fallback:
-                raise
-            said = row["text"]
-        rows.append((row["query_id"], [float(x) for x in embed([said])[0]]))
-    asked = queries.sparkSession.createDataFrame(rows, "query_id long, vector array<double>")
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(frames):
+        for frame in frames:
+            said = []
+            for text in frame["text"]:
+                try:
+                    said.append(generate(f"Write a short passage that answers this question.\n\n{text}"))
+                except Exception:
+                    if not fallback:
+                        raise
+                    said.append(text)
+            made = embed(said) if said else []
+            yield pd.DataFrame({"query_id": frame["query_id"], "vector": [[float(x) for x in v] for v in made]})
+
+    asked = queries.select("query_id", "text").mapInPandas(run, f"query_id {kind}, vector array<double>").persist()
     return semantic(asked, vectors, chunks, k)
 
 

@@ -11,9 +11,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files make fewer splits than there are cores (a table in one row group).
+
+    Larger tables have more splits than that and pass as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table with made-up paths and modification times; ``num`` is its own doc_id."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     path = F.concat_ws("/", F.lit(""), "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")))
     start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     return docs.select(
