@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,6 +18,10 @@ from corvane.sources import corpus, files
 from corvane.sources.store import Store
 
 
+#: Changed documents that are named.
+SHOWN_CHANGES = 5
+
+
 @dataclass(frozen=True)
 class IndexResult:
     """What one indexing run did."""
@@ -39,35 +46,37 @@ class Engine:
         build = chunking.composite_chunks if i.ast_chunking else chunking.line_chunks
         return build(docs, i.chunk_tokens, i.chunk_overlap, i.stemming)
 
-    def index(self, docs: DataFrame) -> IndexResult:
-        """Bring the index to the given snapshot of documents (doc_id, path, text, mod_time, lang)."""
-        state = self.store.check(self.config)
-        if state.needs_rebuild:
+    def index(self, docs: DataFrame, whole: bool = True) -> IndexResult:
+        """Bring the index to the given snapshot of documents (doc_id, path, text, mod_time, lang).
+
+        New documents are written down before anything is made of them, so
+        sources are read once and all tables agree; what is stored of others
+        stays as it is.  With ``whole`` false the documents are a part of the
+        snapshot: none that it leaves out is deleted.
+        """
+        if self.store.check(self.config).needs_rebuild:
             self.store.clear()
         fresh = not self.store.has("docs")
         if fresh:
             status = docs.select("path", F.lit("insert").alias("status"))
         else:
             status = index.incremental_diff(self.store.read("docs"), docs)
+            status = status if whole else status.where("status != 'delete'")
+        status = status.persist()
         counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-        new = docs.join(status.where("status in ('insert', 'update')"), "path", "left_semi")
-        chunks = self.chunks_of(new)
-        posted = index.postings(chunks)
-        source = chunks.withColumn("dl", F.size("tokens")).drop("mod_time", "lang", "num")
-        kept = {"docs": new.select("doc_id", "path", "text", "mod_time", "lang"), "chunks": source, "postings": posted}
+        fields = ("doc_id", "path", "text", "mod_time", "lang")
+        parts = {"docs": self.store.put("docs", docs.join(status.where("status in ('insert', 'update')"), "path", "left_semi").select(*fields))}
+        new = self.store.part(parts["docs"])
+        parts["chunks"] = self.store.put("chunks", self.chunks_of(new).withColumn("dl", F.size("tokens")).drop("mod_time", "lang", "num"))
+        parts["postings"] = self.store.put("postings", index.postings(self.store.part(parts["chunks"])))
         marked = new.where("lang = 'go'")
-        symbols = golang.symbols(marked).unionByName(code.prefix_symbols(new))
-        kept |= {"symbols": symbols, "calls": code.resolve_calls(golang.calls(marked), symbols)}
-        if not fresh:
-            gone = status.where("status in ('delete', 'update')").join(self.store.read("docs"), "path").select("doc_id")
-            old = self.store.read("chunks")
-            dead = old.join(gone, "doc_id", "left_semi").select("chunk_id")
-            for name in ("docs", "chunks", "symbols", "calls"):
-                kept[name] = index.without(self.store.read(name), gone).unionByName(kept[name], allowMissingColumns=True)
-            kept["postings"] = index.without(self.store.read("postings"), dead, "chunk_id").unionByName(posted)
-            if self.store.has("vectors"):
-                kept["vectors"] = index.without(self.store.read("vectors"), dead.withColumnRenamed("chunk_id", "id"), "id")
-        self.store.write(self.config, **kept)
+        parts["symbols"] = self.store.put("symbols", golang.symbols(marked).unionByName(code.prefix_symbols(new)))
+        parts["calls"] = self.store.put("calls", code.resolve_calls(golang.calls(marked), self.store.part(parts["symbols"])))
+        gone = None
+        if counts.get("delete", 0) + counts.get("update", 0):
+            gone = self.store.gone_with(status.where("status in ('delete', 'update')").join(self.store.read("docs"), "path"))
+        self.store.commit(self.config, parts, gone)
+        status.unpersist()
         if self.config.embedding.enabled:
             self.embed()
         self.cache.invalidate()
@@ -100,15 +109,36 @@ class Engine:
         """Stored documents that the snapshot shows as changed or gone."""
         return index.changed(self.store.read("docs"), docs)
 
+    def ensure(self, docs: DataFrame, auto: bool = True, ask: Callable[[str], bool] | None = None) -> list[str]:
+        """Index if there is no index, index again if documents changed; the changed paths, five at most.
+
+        ``ask`` is asked before either; without it the answer is yes.  With
+        ``auto`` false a missing index raises and a stale one is left alone.
+        """
+        agreed = ask or (lambda question: True)
+        if not self.store.has("docs"):
+            if not auto or not agreed("No index found. Index these documents?"):
+                raise LookupError("no index found")
+            self.index(docs)
+            return []
+        if not auto:
+            return []
+        changed = self.stale(docs).orderBy("path").limit(SHOWN_CHANGES)
+        shown = [r["path"] + (" (deleted)" if r["status"] == "delete" else "") for r in changed.collect()]
+        if shown and agreed("Reindex?"):
+            self.index(docs)
+        return shown
+
     # -- answering
 
     def queries(self, *texts: str) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
 
-    def _vectors(self, queries: DataFrame) -> DataFrame:
+    def _vectors(self, queries: DataFrame, lenient: bool = False) -> DataFrame:
+        """Queries with their vectors; ``lenient``: null where embedding fails."""
         asked = queries.withColumnRenamed("query_id", "chunk_id")
-        rows = embed_chunks(asked, self.embedder, self.config.embedding.dimension)
-        return queries.join(rows.withColumnRenamed("id", "query_id"), "query_id")
+        rows = embed_chunks(asked, self.embedder, self.config.embedding.dimension, lenient=lenient)
+        return queries.join(rows.withColumnRenamed("id", "query_id"), "query_id").persist()
 
     def candidates(self, queries: DataFrame, k: int, mode: str = "") -> DataFrame:
         """Ranked passages of many queries: bm25, semantic or hybrid."""
@@ -123,7 +153,7 @@ class Engine:
         vectors = self.store.read("vectors")
         if mode == "semantic":
             return retrieval.semantic(self._vectors(queries), vectors, chunks, k)
-        return retrieval.hybrid(self._vectors(queries), chunks, vectors, k, r.bm25_weight, **options)
+        return retrieval.hybrid(self._vectors(queries, lenient=True), chunks, vectors, k, r.bm25_weight, **options)
 
     def retrieve(self, queries: DataFrame, k: int = 0, mode: str = "", diverse: bool = True) -> DataFrame:
         """Passages with path, lines, score and text; diversity chooses k of twice as many and the threshold follows."""
@@ -149,12 +179,20 @@ class Engine:
 
         return self.cache.cached(f"{mode}|{diverse}|{context}|{text}", k, run)
 
-    def pack(self, queries: DataFrame, budget: int = 0) -> DataFrame:
+    def pack(self, queries: DataFrame, budget: int = 0, k: int = 0) -> DataFrame:
         """Contexts of many queries, from keyword search."""
         p = self.config.pack
-        found = self.retrieve(queries, mode="bm25").join(self.store.read("docs").select("doc_id", "mod_time"), "doc_id", "left")
+        found = self.retrieve(queries, k, mode="bm25").join(self.store.read("docs").select("doc_id", "mod_time"), "doc_id", "left")
         return packing.packed_context(queries, found, self.store.read("docs"), budget or p.token_budget, p.recency_boost)
 
+    def pack_json(self, text: str, budget: int = 0, path: str | None = None, k: int = 0) -> str:
+        """One packed context as indented JSON, also written to ``path`` if it is given and anything was found."""
+        packed = self.pack(self.queries(text), budget, k)
+        said = packing.context_json(packed).first()["json"]
+        if path is not None and json.loads(said)["snippets"]:
+            Path(path).write_text(said + "\n", encoding="utf-8")
+        return said
+
     def prompt(self, text: str, template: str = "runtime") -> str:
         return packing.prompts(self.pack(self.queries(text)), template).first()["prompt"]
 

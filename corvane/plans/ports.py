@@ -86,8 +86,11 @@ class Chat:
         return said
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder | None, dim: int, known: DataFrame | None = None, batch: int = MOST_TEXTS) -> DataFrame:
-    """id and vector of passages that have none yet; without an embedder by the stand-in, natively."""
+def embed_chunks(chunks: DataFrame, embedder: Embedder | None, dim: int, known: DataFrame | None = None, batch: int = MOST_TEXTS, lenient: bool = False) -> DataFrame:
+    """id and vector of passages that have none yet; without an embedder by the stand-in, natively.
+
+    ``lenient``: texts of a request that fails get a null vector.
+    """
     rows = chunks if known is None else chunks.join(known.select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti")
     if embedder is None:
         return rows.select(F.col("chunk_id").alias("id"), vector.mock_embedding("text", dim).alias("vector"))
@@ -97,7 +100,13 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder | None, dim: int, known:
         for texts in parts:
             out = []
             for at in range(0, len(texts), batch):
-                out += embedder(texts.iloc[at : at + batch].tolist())
+                some = texts.iloc[at : at + batch].tolist()
+                try:
+                    out += embedder(some)
+                except Exception:
+                    if not lenient:
+                        raise
+                    out += [None] * len(some)
             yield pd.Series(out)
 
     return rows.select(F.col("chunk_id").alias("id"), run("text").alias("vector"))
