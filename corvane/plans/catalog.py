@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvane.functions import stem, text as tx, vector
-from corvane.operators import chunking, code, expand, golang, index, metrics, packing, rerank, retrieval
-from corvane.plans.samples import EDGES, GO_SOURCE, PATHS, SOURCES
+from corvane.operators import chunking, expand, index, metrics, packing, rerank, retrieval
+from corvane.plans.samples import PATHS
 from corvane.sources import corpus
 
 QUERY = "ering heonst ontion la que der thand"
@@ -91,9 +91,14 @@ def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.whole_documents(corpus.documents(spark, sf_dir))
 
 
-def _shown(found: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+def _shown(found: DataFrame) -> DataFrame:
     """Results by the documents' own numbers, scores rounded to what both engines agree on."""
-    return found.join(chunks.select("chunk_id", "num"), "chunk_id").select("query_id", F.col("num").alias("doc_num"), F.round("score", 6).alias("score"), "rank")
+    return found.select("query_id", F.col("num").alias("doc_num"), F.round("score", 6).alias("score"), "rank")
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items as queries."""
+    return corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 # --- text ---------------------------------------------------------------------------
@@ -101,12 +106,12 @@ def _shown(found: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFra
 
 @entry(f"SELECT doc_id, unnest(range(1, len(t) + 1))::INT - 1 AS pos, unnest(t) AS token FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)")
 def tokenize_terms(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.tokenize("text")).alias("pos", "token"))
+    return corpus.texts(spark, sf_dir).select("doc_id", F.posexplode(tx.tokenize("text")).alias("pos", "token"))
 
 
 @entry(f"SELECT doc_id, {_count('text')} AS n_tokens FROM documents")
 def token_count(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", tx.count_tokens("text").alias("n_tokens"))
+    return corpus.texts(spark, sf_dir).select("doc_id", tx.count_tokens("text").alias("n_tokens"))
 
 
 @entry(f"WITH {_DOCS} SELECT num, unnest(list_filter(regexp_split_to_array(lower(path), '[/._\\-]+'), lambda t: strlen(t) >= 2)) AS token FROM docs")
@@ -117,9 +122,15 @@ def path_tokens(spark, sf_dir):
 _MAP = ", ".join(f"'{k}': '{v}'" for k, v in tx.LANGUAGES.items())
 
 
-@entry(f"SELECT path, coalesce(MAP {{{_MAP}}}[regexp_extract(path, '\\.[^./]*$')], 'unknown') AS lang FROM (VALUES {', '.join(f"('{p}')" for p in PATHS)}) t(path)")
+_ENDINGS = [*tx.LANGUAGES, ".unknown", "", "/Makefile", ".tar.gz"]
+_ENDING = f"[{', '.join(f"'{x}'" for x in _ENDINGS)}][(num % {len(_ENDINGS)} + {len(_ENDINGS)}) % {len(_ENDINGS)} + 1]"
+
+
+@entry(f"WITH {_DOCS}, p AS (SELECT num, doc_id || {_ENDING} AS path FROM docs) SELECT num, path, coalesce(MAP {{{_MAP}}}[regexp_extract(path, '\\.[^./]*$')], 'unknown') AS lang FROM p")
 def detect_language(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", tx.detect_language("path").alias("lang"))
+    """Every document under a file name of each ending in turn."""
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.pmod("num", F.lit(len(_ENDINGS))) + 1).cast("int"))
+    return corpus.documents(spark, sf_dir).select("num", F.concat("doc_id", ending).alias("path")).withColumn("lang", tx.detect_language("path"))
 
 
 @entry(f"WITH {_DOCS} SELECT num, path, doc_id FROM docs")
@@ -128,12 +139,12 @@ def doc_ids(spark, sf_dir):
 
 
 @entry(f"""SELECT doc_id, n_chars, CASE WHEN strlen(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS preview,
-  CASE WHEN n_chars >= 1000000 THEN printf('%.1fM', n_chars / 1e6) WHEN n_chars >= 1000 THEN printf('%.1fk', n_chars / 1e3) ELSE n_chars::VARCHAR END AS size,
-  CASE WHEN n_chars < 60 THEN n_chars || 's' WHEN n_chars < 3600 THEN n_chars // 60 || 'm' || n_chars % 60 || 's' ELSE n_chars // 3600 || 'h' || n_chars % 3600 // 60 || 'm' END AS duration
-  FROM documents""")
+  CASE WHEN n_chars >= 1000000 THEN n_chars // 1000000 || 'M' WHEN n_chars >= 1000 THEN n_chars // 1000 || 'k' ELSE n_chars::VARCHAR END AS size,
+  CASE WHEN n_chars < 1 THEN '<1s' WHEN n_chars < 60 THEN n_chars || 's' WHEN n_chars < 3600 THEN n_chars // 60 || 'm' || n_chars % 60 || 's' ELSE n_chars // 3600 || 'h' || n_chars % 3600 // 60 || 'm' END AS duration,
+  printf('BM25 score: %.2f', n_chars / 800) AS why FROM documents""")
 def display_formats(spark, sf_dir):
     docs = corpus.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "n_chars", tx.preview("text", 150).alias("preview"), tx.format_number("n_chars").alias("size"), tx.format_duration("n_chars").alias("duration"))
+    return docs.select("doc_id", "n_chars", tx.preview("text", 150).alias("preview"), tx.format_number("n_chars").alias("size"), tx.format_duration("n_chars").alias("duration"), tx.why(F.col("n_chars") / 800).alias("why"))
 
 
 @entry(r"""SELECT event_id, coalesce(nullif(regexp_extract('note ' || props || ' end', '(?s)\{.*\}'), ''), 'note ' || props || ' end') AS found FROM events""")
@@ -168,21 +179,59 @@ def corpus_stats(spark, sf_dir):
     return chunks.agg(F.countDistinct("doc_id").alias("total_docs"), F.count("*").alias("total_chunks"), F.round(F.avg(F.size("tokens")), 6).alias("avg_chunk_len"), size.alias("total_bytes"), F.floor(size / 4).alias("total_tokens"))
 
 
-@entry()
+def _stem_sql(words: str) -> str:
+    """CTEs up to ``stems`` (term, w) for a relation of terms: each step of the stemmer as one select.
+
+    ``s`` spells a word's bytes in v and c, so that its beginnings spell the word's beginnings.
+    """
+    sounds = "list_reduce(list_prepend('', string_split(w, '')), lambda a, x: a || CASE WHEN x IN ('a', 'e', 'i', 'o', 'u') OR (x = 'y' AND right(a, 1) = 'c') THEN 'v' ELSE repeat('c', strlen(x)) END)"
+    left = lambda n: f"left(w, length(w) - {n})"
+    begun = lambda n: f"left(s, strlen(w) - {n})"
+    measure = lambda n: f"((length({begun(n)}) - length(replace({begun(n)}, 'vc', ''))) // 2)"
+    short = lambda n: f"(suffix({begun(n)}, 'cvc') AND right({left(n)}, 1) NOT IN ('w', 'x', 'y'))"
+
+    def participle(n):
+        rest = left(n)
+        return f"""CASE WHEN NOT contains({begun(n)}, 'v') THEN w WHEN suffix({rest}, 'at') OR suffix({rest}, 'bl') OR suffix({rest}, 'iz') THEN {rest} || 'e'
+          WHEN length({rest}) > 1 AND strlen(right({rest}, 1)) = 1 AND right({rest}, 1) = substr({rest}, length({rest}) - 1, 1) AND suffix({begun(n)}, 'c') AND right({rest}, 1) NOT IN ('l', 's', 'z') THEN {left(n + 1)}
+          WHEN {measure(n)} = 1 AND {short(n)} THEN {rest} || 'e' ELSE {rest} END"""
+
+    def replaced(table):
+        return "CASE " + " ".join(f"WHEN suffix(w, '{k}') THEN CASE WHEN {measure(len(k))} > 0 THEN {left(len(k))} || '{table[k]}' ELSE w END" for k in sorted(table, key=len, reverse=True)) + " ELSE w END"
+
+    lost = "CASE " + " ".join(f"WHEN suffix(w, '{k}') AND {measure(len(k))} > 1{" AND right(" + left(3) + ", 1) IN ('s', 't')" if k == "ion" else ""} THEN {left(len(k))}" for k in stem.LOST) + " ELSE w END"
+    steps = [
+        f"CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN {left(2)} WHEN suffix(w, 's') AND NOT suffix(w, 'ss') THEN {left(1)} ELSE w END",
+        f"CASE WHEN suffix(w, 'eed') THEN CASE WHEN {measure(3)} > 0 THEN {left(1)} ELSE w END WHEN suffix(w, 'ed') THEN {participle(2)} WHEN suffix(w, 'ing') THEN {participle(3)} ELSE w END",
+        f"CASE WHEN suffix(w, 'y') AND contains({begun(1)}, 'v') THEN {left(1)} || 'i' ELSE w END",
+        replaced(stem.DERIVED),
+        replaced(stem.FORMED),
+        lost,
+        f"CASE WHEN suffix(w, 'e') AND ({measure(1)} > 1 OR ({measure(1)} = 1 AND NOT {short(1)})) THEN {left(1)} ELSE w END",
+        f"CASE WHEN {measure(0)} > 1 AND suffix(w, 'll') THEN {left(1)} ELSE w END",
+    ]
+    ctes = [f"stem0 AS (SELECT DISTINCT term, lower(term) AS w FROM {words})"]
+    for i, step in enumerate(steps, 1):
+        ctes.append(f"stem{i} AS (SELECT term, CASE WHEN strlen(term) < 3 THEN term ELSE {step} END AS w FROM (SELECT term, w, {sounds} AS s FROM stem{i - 1}))")
+    return ", ".join(ctes) + f", stems AS (SELECT term, w FROM stem{len(steps)})"
+
+
+@entry(f"WITH {_DOCS}, words AS (SELECT DISTINCT unnest(tokens) AS term FROM toks), {_stem_sql('words')} SELECT term, w AS stem FROM stems")
 def stem_vocabulary(spark, sf_dir):
     return stem.stem_vocabulary(vocabulary(spark, sf_dir))
 
 
-_CHUNKS = f"""{_DOCS}, counted AS (
-  SELECT num, doc_id, regexp_split_to_array(text, chr(10)) AS ls FROM docs
+def _chunk_ctes(most: int, overlap: int, lines: str = "SELECT num, doc_id, regexp_split_to_array(text, chr(10)) AS ls FROM docs") -> str:
+    """CTEs up to ``chunks`` (num, doc_id, chunk_id, start_line, end_line, text) of the line passages of ``lines`` (num, doc_id, ls)."""
+    return f"""counted AS ({lines}
 ), ruled AS (
   SELECT num, doc_id, ls, len(ls) AS n, list_prepend(0::BIGINT, list_transform(range(1, len(ls) + 1), lambda i: list_sum(list_transform(ls[1:i], lambda l: {_count('l')}))::BIGINT)) AS cum FROM counted
 ), spans AS (
   SELECT num, doc_id, n, cum, 0::BIGINT AS a,
-    coalesce(list_min(list_filter(range(1, n), lambda e: cum[e + 1] > cum[1] AND cum[e + 2] - cum[1] > {MOST})), n) AS b FROM ruled
+    coalesce(list_min(list_filter(range(1, n), lambda e: cum[e + 1] > cum[1] AND cum[e + 2] - cum[1] > {most})), n) AS b FROM ruled
   UNION ALL
-  SELECT num, doc_id, n, cum, c, coalesce(list_min(list_filter(range(c + 1, n), lambda e: cum[e + 1] > cum[c + 1] AND cum[e + 2] - cum[c + 1] > {MOST})), n)
-  FROM (SELECT *, least(greatest(coalesce(list_max(list_filter(range(a, b), lambda s: cum[b + 1] - cum[s + 1] >= {OVERLAP})), a), a + 1), b) AS c FROM spans) WHERE c < n
+  SELECT num, doc_id, n, cum, c, coalesce(list_min(list_filter(range(c + 1, n), lambda e: cum[e + 1] > cum[c + 1] AND cum[e + 2] - cum[c + 1] > {most})), n)
+  FROM (SELECT *, least(greatest(coalesce(list_max(list_filter(range(a, b), lambda s: cum[b + 1] - cum[s + 1] >= {overlap})), a), a + 1), b) AS c FROM spans) WHERE c < n
 ), chunks AS (
   SELECT s.num, s.doc_id, substr(sha256(s.doc_id || ':' || a || '-' || b), 1, 16) AS chunk_id, (a + 1)::INT AS start_line, b::INT AS end_line,
     regexp_replace(array_to_string(r.ls[a + 1:b], chr(10)), '^\\n+', '') AS text
@@ -190,6 +239,9 @@ _CHUNKS = f"""{_DOCS}, counted AS (
 )"""
 
 
+_CHUNKS = f"{_DOCS}, {_chunk_ctes(MOST, OVERLAP)}"
+
+
 def _lines(spark, sf_dir):
     return chunking.line_chunks(corpus.documents(spark, sf_dir), MOST, OVERLAP)
 
@@ -212,7 +264,7 @@ _SHOW = "SELECT query_id, num AS doc_num, round(score, 6) AS score, rank FROM ra
 @entry(f"WITH {_bm25(_ONE)} {_SHOW.format(k=10)}")
 def bm25_topk(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    return _shown(retrieval.bm25(_asked(spark, QUERY), chunks, 10), chunks)
+    return _shown(retrieval.bm25(_asked(spark, QUERY), chunks, 10, keep=("num",)))
 
 
 _BENCH = "(SELECT item_id AS query_id, text FROM benchmark)"
@@ -221,14 +273,14 @@ _BENCH = "(SELECT item_id AS query_id, text FROM benchmark)"
 @entry(f"WITH {_bm25(_BENCH)} {_SHOW.format(k=10)}")
 def bm25_batch(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return _shown(retrieval.bm25(asked, chunks, 10), chunks)
+    asked = _benchmark(spark, sf_dir)
+    return _shown(retrieval.bm25(asked, chunks, 10, keep=("num",)))
 
 
 @entry(f"WITH {_bm25(f"(SELECT 0::BIGINT AS query_id, '{REPEATED}' AS text)")} {_SHOW.format(k=20)}")
 def bm25_repeated_terms(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    return _shown(retrieval.bm25(_asked(spark, REPEATED), chunks, 20), chunks)
+    return _shown(retrieval.bm25(_asked(spark, REPEATED), chunks, 20, keep=("num",)))
 
 
 _PATHQ = "ering src3 src11 fr que"
@@ -237,22 +289,22 @@ _PATHQ = "ering src3 src11 fr que"
 @entry(f"WITH {_bm25(f"(SELECT 0::BIGINT AS query_id, '{_PATHQ}' AS text)", 0.3)} {_SHOW.format(k=20)}")
 def bm25_path_boost(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    return _shown(retrieval.bm25(_asked(spark, _PATHQ), chunks, 20, path_weight=0.3), chunks)
+    return _shown(retrieval.bm25(_asked(spark, _PATHQ), chunks, 20, path_weight=0.3, keep=("num",)))
 
 
 @entry(f"""WITH {_bm25(_ONE)} SELECT q.query_id, c.num AS doc_num, round(sum(q.qtf * ln((s.total - 1 + 0.5) / 1.5 + 1) * (p.tf * 2.2) / (p.tf + 1.2 * (1 - 0.75 + 0.75 * p.dl / s.mean))), 6) AS score
   FROM qterms q JOIN posted p USING (term) JOIN toks c USING (chunk_id) CROSS JOIN stats s GROUP BY q.query_id, c.num""")
 def bm25_single_chunk(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    found = retrieval.single_chunk_bm25(_asked(spark, QUERY), chunks)
-    return found.join(chunks.select("chunk_id", "num"), "chunk_id").select("query_id", F.col("num").alias("doc_num"), F.round("score", 6).alias("score"))
+    found = retrieval.single_chunk_bm25(_asked(spark, QUERY), chunks, keep=("num",))
+    return found.select("query_id", F.col("num").alias("doc_num"), F.round("score", 6).alias("score"))
 
 
 @entry(f"WITH {_bm25(_BENCH)} {_SHOW.format(k=20)} AND score >= 12.0")
 def bm25_threshold(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return _shown(retrieval.threshold(retrieval.bm25(asked, chunks, 20), 12.0), chunks)
+    asked = _benchmark(spark, sf_dir)
+    return _shown(retrieval.threshold(retrieval.bm25(asked, chunks, 20, keep=("num",)), 12.0))
 
 
 _VECQ = "SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN (3, 77, 123)"
@@ -308,12 +360,15 @@ def hybrid_search(spark, sf_dir):
     emb = corpus.table(spark, sf_dir, "embeddings")
     vectors = emb.join(chunks.select("num", "chunk_id"), F.col("vec_id") == F.col("num")).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
     asked = _asked(spark, QUERY).join(F.broadcast(emb.where("vec_id = 3").select(F.col("embedding").alias("vector"))), F.lit(True))
-    return _shown(retrieval.hybrid(asked, chunks, vectors, 10), chunks)
+    found = retrieval.hybrid(asked, chunks, vectors, 10)
+    return _shown(retrieval.with_columns_of(found, chunks, asked, 10, "num"))
 
 
-@entry()
+@entry("""WITH c AS (SELECT doc_id, string_split(coalesce(text, ''), '')[1:32] AS cs FROM documents), e AS (
+  SELECT doc_id, list_transform(range(1, 33), lambda p: list_sum(list_transform(range(1, len(cs) + 1), lambda i: CASE WHEN 1 + list_sum(list_transform(list_prepend('', cs[1:i - 1]), lambda x: strlen(x))) = p THEN unicode(cs[i]) ELSE 0 END))) AS v FROM c
+) SELECT doc_id, list_transform(v, lambda x: (coalesce(x, 0) / 1000)::FLOAT) AS vector FROM e""")
 def mock_embed(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "documents").select("doc_id", vector.mock_embedding("text", 32).alias("vector"))
+    return corpus.texts(spark, sf_dir).select("doc_id", vector.mock_embedding("text", 32).alias("vector"))
 
 
 @entry(f"""WITH {_bm25(_ONE)}, texts(query_id, text) AS (VALUES (0::BIGINT, '{QUERY}'), (1, '{REPEATED}')),
@@ -324,9 +379,9 @@ def mock_embed(spark, sf_dir):
  SELECT num AS doc_num, round(max(score), 6) AS score FROM z JOIN toks USING (chunk_id) WHERE r <= 20 GROUP BY num""")
 def pool_max_score(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    found = retrieval.bm25(_asked(spark, QUERY, REPEATED), chunks, 20)
-    best = retrieval.pooled(found)
-    return best.join(chunks.select("chunk_id", "num"), "chunk_id").select(F.col("num").alias("doc_num"), F.round("score", 6).alias("score"))
+    asked = _asked(spark, QUERY, REPEATED)
+    best = retrieval.pooled(retrieval.bm25(asked, chunks, 20))
+    return retrieval.with_columns_of(best, chunks, asked, 20, "num").select(F.col("num").alias("doc_num"), F.round("score", 6).alias("score"))
 
 
 # --- re-ranking -----------------------------------------------------------------------
@@ -338,7 +393,8 @@ _JAC = "CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0 ELSE len(list_intersect
  SELECT a.num AS a, b.num AS b, round({_JAC.format(a='a.s', b='b.s')}, 6) AS jaccard FROM c a JOIN c b ON a.num < b.num""")
 def jaccard_pairs(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    found = retrieval.bm25(_asked(spark, QUERY), chunks, 40).join(chunks.select("chunk_id", "num", "tokens"), "chunk_id").select("query_id", "num", "tokens")
+    asked = _asked(spark, QUERY)
+    found = retrieval.with_columns_of(retrieval.bm25(asked, chunks, 40), chunks, asked, 40, "num", "text").select("query_id", "num", tx.tokenize("text").alias("tokens"))
     a = found.select("query_id", F.col("num").alias("a"), F.col("tokens").alias("s"))
     b = found.select("query_id", F.col("num").alias("b"), F.col("tokens").alias("t"))
     return a.join(b, "query_id").where("a < b").select("a", "b", F.round(rerank.jaccard("s", "t"), 6).alias("jaccard"))
@@ -365,9 +421,10 @@ _MMR = f"""{_bm25(_BENCH)}, c AS (
 @entry(f"WITH RECURSIVE {_MMR} SELECT query_id, num AS doc_num, round(score, 6) AS score, step::INT AS rank FROM steps")
 def mmr_rerank(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = retrieval.bm25(asked, chunks, 20).join(chunks.select("chunk_id", "tokens"), "chunk_id")
-    return _shown(rerank.mmr(found, 5), chunks)
+    asked = _benchmark(spark, sf_dir)
+    found = retrieval.with_columns_of(retrieval.bm25(asked, chunks, 20), chunks, asked, 20, "text")
+    chosen = rerank.mmr(found.withColumn("tokens", tx.tokenize("text")), 5)
+    return _shown(retrieval.with_columns_of(chosen, chunks, asked, 5, "num"))
 
 
 @entry(f"""WITH {_bm25(_BENCH)}, c AS (
@@ -380,18 +437,22 @@ def mmr_rerank(spark, sf_dir):
 SELECT query_id, num AS doc_num, round(score, 6) AS score, place AS rank FROM o WHERE place <= 10""")
 def simple_rerank(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = retrieval.bm25(asked, chunks, 50).join(chunks.select("chunk_id", "text"), "chunk_id")
-    return _shown(rerank.rerank(found, asked, 10), chunks)
+    asked = _benchmark(spark, sf_dir)
+    found = retrieval.with_columns_of(retrieval.bm25(asked, chunks, 50), chunks, asked, 50, "text")
+    return _shown(retrieval.with_columns_of(rerank.rerank(found, asked, 10), chunks, asked, 10, "num"))
 
 
 # --- packing --------------------------------------------------------------------------
 
 
 def _packable(spark, sf_dir, k: int = 20):
-    """Passages by line chunks for one query, with what packing needs."""
-    chunks = _lines(spark, sf_dir)
-    return retrieval.bm25(_asked(spark, QUERY), chunks, k).join(chunks.select("chunk_id", "num", "doc_id", "path", "mod_time", "start_line", "end_line", "text"), "chunk_id")
+    """Passages by line chunks for one query, with what packing needs; their texts are cut again from the few documents found."""
+    asked = _asked(spark, QUERY)
+    found = retrieval.bm25(asked, _lines(spark, sf_dir), k, keep=("num", "doc_id", "path", "mod_time", "start_line", "end_line"))
+    docs = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("whole"))
+    wide = retrieval.with_columns_of(found.withColumnRenamed("chunk_id", "id").withColumn("chunk_id", F.col("doc_id")), docs, asked, k, "whole")
+    text = F.regexp_replace(tx.line_slice(tx.lines_of("whole"), F.col("start_line"), F.col("end_line")), "^\n+", "")
+    return wide.withColumn("text", text).drop("whole", "chunk_id").withColumnRenamed("id", "chunk_id")
 
 
 _LINEBM = f"""{_CHUNKS}, qterms AS (
@@ -487,9 +548,9 @@ def expand_keywords(spark, sf_dir):
  SELECT num AS doc_num, 2 AS start_line, least(6, len(ls))::INT AS end_line, array_to_string(ls[2:least(6, len(ls))], chr(10)) AS text FROM h""")
 def expand_lines(spark, sf_dir):
     chunks = _whole(spark, sf_dir)
-    found = retrieval.bm25(_asked(spark, QUERY), chunks, 10).join(chunks.select("chunk_id", "doc_id", "num"), "chunk_id")
+    found = retrieval.bm25(_asked(spark, QUERY), chunks, 10, keep=("doc_id", "num"))
     hits = found.select("num", "doc_id", F.lit(4).alias("start_line"), F.lit(4).alias("end_line"))
-    wide = expand.around(hits, corpus.documents(spark, sf_dir), 2)
+    wide = expand.around(F.broadcast(hits), corpus.documents(spark, sf_dir), 2)
     return wide.select(F.col("num").alias("doc_num"), "start_line", "end_line", "text")
 
 
@@ -516,83 +577,6 @@ def related_docs(spark, sf_dir):
     return found.select("path", "related")
 
 
-def _sources(spark):
-    rows = spark.createDataFrame([(p, t) for p, t in SOURCES.items()], "path string, text string")
-    return rows.select(tx.doc_id("path").alias("doc_id"), "path", "text", tx.detect_language("path").alias("lang"))
-
-
-@entry()
-def import_expand(spark, sf_dir):
-    return _sources(spark).select("path", F.explode(expand.imports("text")).alias("imported"))
-
-
-# --- code -------------------------------------------------------------------------------
-
-
-@entry()
-def symbols_by_prefix(spark, sf_dir):
-    return code.prefix_symbols(_sources(spark))
-
-
-@entry(f"SELECT id, name FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in sorted({(e[0], e[0]) for e in EDGES} | {(e[1], e[1]) for e in EDGES}))}) t(id, name) WHERE contains(lower(name), 'pars')")
-def symbol_search(spark, sf_dir):
-    names = sorted({e[0] for e in EDGES} | {e[1] for e in EDGES})
-    return retrieval.symbol_search(spark.createDataFrame([(n, n) for n in names], "id string, name string"), "PARS")
-
-
-@entry()
-def comments_extract(spark, sf_dir):
-    return code.comments(_sources(spark))
-
-
-_EDGES = ", ".join(f"('{a}', '{b}', {n})" for a, b, n in EDGES)
-
-
-@entry(f"""WITH e(caller_id, callee_id, line) AS (VALUES {_EDGES}), s AS (SELECT DISTINCT caller_id AS id FROM e)
- SELECT DISTINCT 'callers' AS side, e.callee_id AS of_id, e.caller_id AS id FROM e JOIN s ON s.id = e.caller_id WHERE e.callee_id IN ('parse', 'read')
- UNION ALL SELECT DISTINCT 'callees', e.caller_id, e.callee_id FROM e JOIN s ON s.id = e.callee_id WHERE e.caller_id IN ('main', 'parse')""")
-def call_graph_one_hop(spark, sf_dir):
-    calls = spark.createDataFrame(EDGES, "caller_id string, callee_id string, line int")
-    symbols = calls.select(F.col("caller_id").alias("id")).distinct()
-    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
-    into = code.callers(calls, symbols, ids("parse", "read")).select(F.lit("callers").alias("side"), "of_id", "id")
-    return into.unionByName(code.callees(calls, symbols, ids("main", "parse")).select(F.lit("callees").alias("side"), "of_id", "id"))
-
-
-def _go(spark):
-    rows = spark.createDataFrame([("/app/sample.go", GO_SOURCE)], "path string, text string")
-    return rows.select(tx.doc_id("path").alias("doc_id"), "path", "text", tx.detect_language("path").alias("lang"))
-
-
-@entry()
-def chunk_metadata(spark, sf_dir):
-    docs = _go(spark)
-    chunks = chunking.composite_chunks(docs)
-    symbols = golang.symbols(docs)
-    return code.chunk_metadata(chunks, symbols, code.resolve_calls(golang.calls(docs), symbols))
-
-
-@entry()
-def go_units(spark, sf_dir):
-    return golang.units(_go(spark)).select("type", "name", "signature", "start_line", "end_line", "doc", F.size("children").alias("n_children"), "calls", "imports")
-
-
-@entry()
-def go_symbols(spark, sf_dir):
-    return golang.symbols(_go(spark))
-
-
-@entry()
-def go_calls(spark, sf_dir):
-    docs = _go(spark)
-    return code.resolve_calls(golang.calls(docs), golang.symbols(docs))
-
-
-@entry()
-def composite_chunks(spark, sf_dir):
-    return chunking.composite_chunks(_sources(spark), 64, 10).select("path", "chunk_id", "start_line", "end_line", "text")
-
-
 # --- maintenance and quality ------------------------------------------------------------
 
 
@@ -616,8 +600,8 @@ SELECT query_id, round(hits::DOUBLE / n, 6) AS precision, round(hits::DOUBLE / r
 def eval_metrics(spark, sf_dir):
     """Every labelled document is judged for every benchmark query, by its quality."""
     chunks = _whole(spark, sf_dir)
-    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = retrieval.bm25(asked, chunks, 10).join(chunks.select("chunk_id", "num"), "chunk_id").select("query_id", F.col("num").alias("item"), "rank")
+    asked = _benchmark(spark, sf_dir)
+    found = retrieval.bm25(asked, chunks, 10, keep=("num",)).select("query_id", F.col("num").alias("item"), "rank")
     labels = corpus.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.col("quality").alias("gain"))
     return metrics.evaluate_shared(found, labels, 10).select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "reciprocal_rank", "ndcg")])
 
@@ -640,9 +624,17 @@ def savings_report(spark, sf_dir):
     return metrics.savings(total).select("total_tokens", F.round("saved_percent", 6).alias("saved_percent"), F.round("full_cost", 9).alias("full_cost"), F.round("cost", 9).alias("cost"))
 
 
-@entry()
+@entry(f"""WITH {_bm25(f"(SELECT * FROM (VALUES (0::BIGINT, '{QUERY}'), (1, '{REPEATED}')) t(query_id, text))")}, f AS (
+  SELECT 0::BIGINT AS query_id, chunk_id, num, round(sum(1 / (60 + rank)), 9) AS score FROM ranked WHERE rank <= 50 GROUP BY chunk_id, num
+), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id)::INT AS rank FROM f)
+SELECT query_id, num AS doc_num, round(score, 6) AS score, rank FROM o WHERE rank <= 10""")
 def rank_fusion(spark, sf_dir):
+    """Two questions' rankings as one."""
     chunks = _whole(spark, sf_dir)
-    found = retrieval.bm25(_asked(spark, QUERY), chunks, 50)
-    other = retrieval.bm25(_asked(spark, REPEATED), chunks, 50)
-    return _shown(retrieval.top(retrieval.reciprocal_ranks(found, other), 10), chunks)
+    found = retrieval.bm25(_asked(spark, QUERY, REPEATED), chunks, 50).withColumn("query_id", F.lit(0).cast("long"))
+    asked = _asked(spark, QUERY)
+    best = retrieval.top(retrieval.reciprocal_ranks(found).withColumn("score", F.round("score", 9)), 10)
+    return _shown(retrieval.with_columns_of(best, chunks, asked, 10, "num"))
+
+
+from corvane.plans import catalog_code, catalog_store  # noqa: E402, F401  they add their entries
