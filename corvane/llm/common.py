@@ -10,6 +10,8 @@ from itertools import chain, filterfalse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.sources.corpus import spread
+
 #: Rows and bytes of one Arrow batch sent to Python: very long texts make a
 #: batch close early instead of growing with the row count.
 BATCH_ROWS = 2000
@@ -27,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, over all cores even if its files make fewer splits (a small table in one row group)."""
+    return spread(table(spark, sf_dir, name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``, which all executors share.
 

@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm.common import table, tune
+from corvane.llm.common import texts, tune
 
 # --- the tree -----------------------------------------------------------------
 
@@ -602,7 +602,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
-    return extract_pages(table(spark, sf_dir, "pages"))
+    return extract_pages(texts(spark, sf_dir, "pages"))
 
 
 if __name__ == "__main__":

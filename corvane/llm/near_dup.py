@@ -44,7 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvane.llm.common import Memo, discard, table, tune, written
+from corvane.llm.common import Memo, discard, texts, tune, written
 
 ROWS, BANDS = 6, 56
 COORDINATES = ROWS * BANDS
@@ -53,7 +53,7 @@ BROADCAST_IDS = 100_000
 #: Rounds that compare outsiders with a member of their bucket's largest component, before tiles.
 HUB_ROUNDS = 2
 #: Most members and most shingles of a block, two of which meet in a tile (on average, as blocks are drawn by hash).
-BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1 << 19
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1 << 19
 #: Keys from here on are names made from hashes, above all real doc_ids.
 NAMES = 1 << 62
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -445,7 +445,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that share 80 % of their two-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return near_duplicates(texts(spark, sf_dir, "documents"), width=2)
 
 
 ORACLE = """

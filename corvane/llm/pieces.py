@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm.common import Memo, table, tune
+from corvane.llm.common import Memo, texts, tune
 from corvane.llm.token_counts import MARK, Counter, prove
 
 UNKNOWN_PENALTY = 10.0
@@ -214,4 +214,4 @@ def decode_documents(encoded: DataFrame, model: str, scores: str = "zipf") -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of all documents."""
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(texts(spark, sf_dir, "documents"))

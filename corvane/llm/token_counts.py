@@ -27,7 +27,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvane.llm.common import Memo, table, tune
+from corvane.llm.common import Memo, texts, tune
 
 MARK = "▁"
 LIMIT = 4096
@@ -161,4 +161,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of the documents for the 32k piece model."""
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(texts(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvane.llm.common import Memo, table, tune
+from corvane.llm.common import Memo, table, texts, tune
 
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1500, 2500, 20_000
 #: Documents of either label that the field itself is fitted to.
@@ -441,6 +441,6 @@ def reject_toxic(docs: DataFrame, model: Field, threshold: float = THRESHOLD) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from the labelled ones that are not held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     found = tag(docs, learn(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")

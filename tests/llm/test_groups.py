@@ -124,7 +124,7 @@ def test_intersections():
         assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
 
 
-@pytest.mark.parametrize("blocks", [(2048, 1 << 19), (7, 1 << 19), (2048, 1500)])
+@pytest.mark.parametrize("blocks", [(1024, 1 << 19), (7, 1 << 19), (1024, 1500)])
 def test_crowd_at_the_threshold(docs_of, monkeypatch, blocks):
     """A crowd whose pairs lie between 0.6 and 0.9: components as by brute force, and pairs compared in proportion to its size."""
     monkeypatch.setattr(near_dup, "BLOCK_MEMBERS", blocks[0])
@@ -133,7 +133,7 @@ def test_crowd_at_the_threshold(docs_of, monkeypatch, blocks):
     whole = near_dup.confirmed
     monkeypatch.setattr(near_dup, "confirmed", lambda pairs, *rest: made.append(pairs.count()) or whole(pairs, *rest))
     per = {}
-    for n in (150, 600) if blocks[0] == 2048 and blocks[1] > 1500 else (150,):
+    for n in (150, 600) if blocks[0] == 1024 and blocks[1] > 1500 else (150,):
         rng = random.Random(n)
         centre = [f"c{i}" for i in range(100)]
         rows = []
