@@ -3,12 +3,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import cli
 from corvane.config import Config, IndexConfig, overlay, parse_settings
-from corvane.plans import ports
+from corvane.functions import text as tx
+from corvane.plans import facade, ports
 from corvane.plans.agent import Agent, decide, variants
 from corvane.plans.cache import QueryCache
 from corvane.plans.engine import Engine
-from corvane.sources import files
+from corvane.plans.samples import GO_SOURCE
+from corvane.sources import corpus, files, store
 from corvane.streaming import incremental
 
 PAGES = {"/a/auth.txt": "user authentication and login page\nsession tokens", "/a/db.txt": "database connection pooling\nqueries and transactions", "/a/auth_notes.txt": "notes on authentication"}
@@ -85,6 +88,107 @@ def test_engine_follows_changes(engine, spark):
         engine.store.upsert_vectors(engine.config, spark.createDataFrame([("x", [1.0])], "id string, vector array<float>").withColumn("metadata", F.create_map().cast("map<string,string>")))
 
 
+def test_store_writes_what_changes(spark, tmp_path, monkeypatch):
+    """Changes add small parts; many parts become one; old parts are removed once no reader can hold them."""
+    monkeypatch.setattr(store, "MOST_PARTS", 3)
+    made = Engine(spark, str(tmp_path / "index"), overlay(Config(), {"index": {"ast_chunking": False}}))
+    body = {f"/d{i}.txt": f"words of document {i} number{i}" for i in range(6)}
+    made.index_memory(body)
+    first = made.store.manifest()["tables"]["chunks"][0][0]
+    for turn in range(6):
+        name = f"/d{turn}.txt"
+        body[name] = f"other words {turn} changed{turn}"
+        later = corpus.in_memory(spark, {name: body[name]}).withColumn("mod_time", F.current_timestamp() + F.make_dt_interval(F.lit(turn + 1)))
+        made.index(later, whole=False)
+        m = made.store.manifest()
+        assert len(m["tables"]["chunks"]) <= 3 and m["seq"] == turn + 2
+        assert {r.text for r in made.store.read("chunks").collect()} == set(body.values())
+        assert made.query(f"changed{turn}", 3)[0].path == name and made.query(f"number{turn}", 3) == []
+        terms = {r.term for r in made.store.read("postings").collect()}
+        assert f"chang{turn}" not in terms and any(t.startswith("changed") for t in terms)
+    folders = {p.name for p in (tmp_path / "index").iterdir() if p.is_dir()}
+    assert first not in folders and folders == set(made.store._parts(m)) | set(m["before"])
+    made.store.delete_docs(made.config, made.store.read("docs").where("path < '/d4'"))
+    assert made.stats()["total_docs"] == 2 and made.store.read("docs").count() == 2
+    made.clear()
+    assert made.stats()["total_docs"] == 0 and not made.store.has("docs")
+
+
+def test_lookups(spark, tmp_path):
+    made = Engine(spark, str(tmp_path / "index"))
+    made.index(spark.createDataFrame([("/a.go", GO_SOURCE)], "path string, text string").withColumns({"doc_id": tx.doc_id("path"), "mod_time": F.current_timestamp(), "lang": F.lit("go")}))
+    doc = made.store.read("docs").first().doc_id
+    symbols = {r.name: r.id for r in made.store.doc_symbols(doc).collect()}
+    assert made.store.symbol(symbols["price"]).type == "function" and symbols["price"] in {r.callee_id for r in made.store.doc_calls(doc).collect()}
+    assert made.store.doc_symbols("none").count() == 0
+    with pytest.raises(KeyError):
+        made.store.symbol("none")
+
+
+def test_index_on_demand(spark, tmp_path):
+    made = Engine(spark, str(tmp_path / "index"))
+    docs = corpus.in_memory(spark, PAGES).persist()
+    docs.count()
+    with pytest.raises(LookupError):
+        made.ensure(docs, auto=False)
+    with pytest.raises(LookupError):
+        made.ensure(docs, ask=lambda question: False)
+    assert made.ensure(docs) == [] and made.stats()["total_docs"] == 3
+    assert made.ensure(docs, ask=lambda question: pytest.fail("nothing changed")) == []
+    later = docs.where("path != '/a/db.txt'").withColumn("mod_time", F.col("mod_time") + F.expr("INTERVAL 1 HOUR"))
+    asked = []
+    assert made.ensure(later, ask=lambda question: asked.append(question) or False) == ["/a/auth.txt", "/a/auth_notes.txt", "/a/db.txt (deleted)"]
+    assert len(asked) == 1 and made.stats()["total_docs"] == 3 and made.ensure(later, auto=False) == []
+    made.ensure(later)
+    assert made.stats()["total_docs"] == 2
+
+
+def test_embedding_fails(spark, tmp_path):
+    """Hybrid search falls back to BM25, semantic search says so."""
+    config = overlay(Config(), {"embedding": {"enabled": True, "dimension": 2}, "index": {"ast_chunking": False}})
+    path = str(tmp_path / "index")
+    Engine(spark, path, config, lambda texts: [[1.0, 0.0] for _ in texts]).index_memory(PAGES)
+
+    def down(texts):
+        raise ConnectionError("no service")
+
+    made = Engine(spark, path, config, down)
+    queries = made.queries("authentication")
+    show = lambda df: [(r.chunk_id, r.score) for r in df.orderBy("rank").collect()]
+    assert show(made.candidates(queries, 5, "hybrid")) == show(made.candidates(queries, 5, "bm25"))
+    with pytest.raises(Exception, match="no service"):
+        made.candidates(queries, 5, "semantic").collect()
+
+
+def test_facade_errors(spark, tmp_path):
+    made = facade.Facade(spark, str(tmp_path / "index"))
+    assert json.loads(made.query("words"))["results"] == [] and json.loads(made.stats())["files"] == []
+    assert "error" in json.loads(made.index("a.txt"))
+    assert json.loads(made.index("a.txt", "some words"))["success"] and json.loads(made.stats())["totalDocs"] == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    for name, text in (("a.py", "def login(user):\n    return session(user)\n"), ("b.md", "how the database pools connections\n")):
+        (tmp_path / name).write_text(text)
+    run = lambda *args: cli.main(["-d", str(tmp_path), *args])
+    assert run("query", "-q", "login", "--no-auto-index") == 1 and "no index" in capsys.readouterr().err
+    assert run("query", "-q", "database pools", "--json") == 0
+    said = capsys.readouterr()
+    assert json.loads(said.out)[0]["path"].endswith("b.md") and "[auto: yes]" in said.err
+    assert run("index") == 0 and "skipped 2" in capsys.readouterr().out
+    assert run("query", "-q", "login", "--no-mmr", "-c", "1") == 0 and "a.py:L1-" in capsys.readouterr().out
+    assert run("query", "-q", "login", "--semantic") == 1
+    packed = tmp_path / "ctx.json"
+    assert run("pack", "-q", "login", "-b", "100", "-o", str(packed)) == 0 and "Snippets: 1" in capsys.readouterr().out
+    assert json.loads(packed.read_text())["budget_tokens"] == 100
+    assert run("pack", "-q", "zzunknownzz") == 0 and "No relevant" in capsys.readouterr().err
+    assert run("runprompt", "--runtime", "--ctx", str(packed), "-q", "Who logs in?") == 0
+    said = capsys.readouterr().out
+    assert "Who logs in?" in said and "a.py" in said
+    assert run("stats") == 0 and json.loads(capsys.readouterr().out)["total_docs"] == 2
+    assert run("clear") == 0 and run("runprompt", "--builder", "--ctx", str(tmp_path / "none")) == 1
+
+
 def test_agent(engine):
     said = []
 

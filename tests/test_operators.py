@@ -80,6 +80,37 @@ def test_hybrid(spark):
     assert got[(1, "c2")] == 1.0 and got[(0, "c1")] >= 0.5 and got[(0, "c3")] <= 0.5
 
 
+def test_hybrid_without_embedding(spark):
+    """A query whose embedding failed keeps its BM25 results and scores."""
+    vectors = spark.createDataFrame([("c1", [1.0, 0.0]), ("c2", [0.0, 1.0])], "id string, vector array<float>")
+    q = spark.createDataFrame([(0, "authentication", None), (1, "authentication", [1.0, 0.0]), (2, "nothing", None)], "query_id long, text string, vector array<float>")
+    got = {(r.query_id, r.chunk_id): r.score for r in retrieval.hybrid(q, chunks(spark), vectors, 5).collect()}
+    plain = {r.chunk_id: r.score for r in retrieval.bm25(asked(spark, "authentication"), chunks(spark), 5).collect()}
+    assert {c: s for (i, c), s in got.items() if i == 0} == plain and got[(1, "c1")] != plain["c1"] and not [i for i, _ in got if i == 2]
+
+
+def test_vectors_of_many_queries(spark, monkeypatch):
+    """In tiles the result is that of the join with broadcast queries."""
+    rng = random.Random(5)
+    vector = lambda: [rng.uniform(-1, 1) for _ in range(6)]
+    vectors = spark.createDataFrame([(f"v{i:03}", vector()) for i in range(90)] + [("z", [0.0] * 6)], "id string, vector array<double>")
+    q = spark.createDataFrame([(i, vector()) for i in range(40)] + [(99, [0.0] * 6)], "query_id long, vector array<double>")
+    show = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in df.collect())
+    want = show(retrieval.vector_top(q, vectors, 7))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
+    monkeypatch.setattr(retrieval, "TILE", 16)
+    assert show(retrieval.vector_top(q, vectors, 7)) == want
+    assert retrieval.vector_top(q, vectors.where("false"), 7).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        retrieval.vector_top(q, spark.createDataFrame([("a", [1.0])], "id string, vector array<double>"), 2).collect()
+
+
+def test_bm25_keeps_columns(spark):
+    got = retrieval.bm25(asked(spark, "database", "authentication"), chunks(spark), 5, keep=("doc_id", "start_line")).collect()
+    assert {(r.chunk_id, r.doc_id, r.start_line) for r in got} == {("c1", "d1", 1), ("c2", "d1", 2), ("c3", "d2", 1)}
+    assert retrieval.bm25(asked(spark, "database"), chunks(spark).where("false"), 5).count() == 0
+
+
 def test_hyde_and_fusion(spark):
     vectors = spark.createDataFrame([("c1", [1.0, 0.0]), ("c2", [0.0, 1.0])], "id string, vector array<float>")
     q = asked(spark, "x")

@@ -58,3 +58,26 @@ def test_vectors(spark):
     text = one(spark, vector.mock_embedding("t", 5), t="aéb")
     assert text == pytest.approx([0.097, 0.233, 0.0, 0.098, 0.0], abs=1e-6)
     assert one(spark, vector.mock_embedding("t", 3), t="") == [0.0, 0.0, 0.0]
+
+
+def test_displayed_numbers(spark):
+    """Whole thousands; less than a second; two digits as C and Go print them, from the exact binary value."""
+    import random
+
+    rng = random.Random(4)
+    numbers = [rng.random() * 10 ** rng.randint(-3, 6) for _ in range(400)] + [k / 8 for k in range(200)] + [k / 200 for k in range(400)] + [0.0, 0.005, 0.015, 1e-9, 2.5e-3, 1.005, 2.675, 1e14, 123456789.125, -1.125, -0.004]
+    frame = spark.createDataFrame([(x,) for x in numbers], "x double").repartition(2)
+    assert all(r.t == f"{r.x:.2f}".replace("-0.00", "-0.00") for r in frame.select("x", tx.two_digits("x").alias("t")).collect())
+    frame = spark.createDataFrame([(n,) for n in (0, 999, 1000, 1250, 1999, 999_999, 1_000_000, 2_999_999)], "n long")
+    assert [r[0] for r in frame.select(tx.format_number("n")).collect()] == ["0", "999", "1k", "1k", "1k", "999k", "1M", "2M"]
+    frame = spark.createDataFrame([(0.4,), (1.0,), (59.9,), (60.0,), (3725.0,)], "s double")
+    assert [r[0] for r in frame.select(tx.format_duration("s")).collect()] == ["<1s", "1s", "59s", "1m0s", "1h2m"]
+
+
+def test_tokens_by_one_pattern(spark):
+    """The pattern leaves out what a filter on lower-cased words would."""
+    odd = ["K a KK x", "İ İn the THE The_ thé", "é Aé ñ 日 本語 ٣ ٣٤", "AND and-or it's I'm a1 1a _ __ the1 Ofthe of", "ΑΣ'Α ſo ſ", "", None]
+    frame = spark.createDataFrame([(t,) for t in odd], "text string")
+    stop = F.array(*[F.lit(w) for w in tx.STOPWORDS])
+    plain = F.filter(F.transform(tx.split_words("text"), F.lower), lambda w: (F.octet_length(w) >= 2) & ~F.array_contains(stop, w))
+    assert all(r.a == r.b for r in frame.select(plain.alias("a"), tx.tokenize("text").alias("b")).collect())
