@@ -321,31 +321,32 @@ def tiled(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("band", "i", "j").applyInArrow(_forest(percent), "a long, b long")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every larger end (a) has one edge, to a node (b) that is no larger end itself."""
+    several = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    chained = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
+    return several.union(chained).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and the smallest id of its component, for every end of an edge but the smallest ones.
 
     Alternates the large-star and small-star steps of Kiveris et al.; both are
-    a minimum for each node and a join back, written down each time, until the
-    edges stand still.
+    a minimum for each node and a join back, written down each time, until only
+    stars are left.
     """
     edges = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a != b").distinct()
-        large = written(large, "cc")
+        large = written(large.where("a != b").distinct(), "cc")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         small = written(small.where("a != b").distinct(), "cc")
-        discard(edges)
-        discard(large)
+        discard(edges, large)
         edges = small
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("rep"), F.col("b").alias("root"))
-        state = now
+    return edges.select(F.col("a").alias("rep"), F.col("b").alias("root"))
 
 
 def merged(found: DataFrame, more: DataFrame) -> DataFrame:
@@ -370,7 +371,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = written(filled.groupBy("digest").agg(F.min(F.struct("key", "row")).alias("rep")).select("digest", "rep.key", "rep.row"), "near-reps")
     nodes = written(filled.select("doc_id", "key", "n_shingles", "digest").join(reps.select("digest", F.col("key").alias("rep")), "digest").select("doc_id", "key", "n_shingles", "rep"), "near-nodes")
     empty = written(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.lit(None).cast("long").alias("key")), "near-empty")
-    banded = written(semi_join(filled, reps.select("row"), "left_semi").select(F.col("key").alias("rep"), F.col("n_shingles").alias("size"), "bands"), "near-bands")
+    banded = written(filled.join(reps.select("row"), "row", "left_semi").select(F.col("key").alias("rep"), F.col("n_shingles").alias("size"), "bands"), "near-bands")
     discard(signed, reps)
 
     banded = banded.select("rep", "size", F.explode("bands").alias("band"))

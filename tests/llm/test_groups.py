@@ -65,6 +65,28 @@ def test_near_duplicates_equal_brute_force(docs_of, width):
     assert got == want
 
 
+def test_components(spark):
+    """Stars, chains, cycles and repeated edges in any order give the smallest id of each component."""
+    rng = random.Random(9)
+    edges = [(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(100, 160)] + [(300 + i, 300 + (i + 1) % 20) for i in range(20)] + [(5, 5), (400, 401), (401, 400)]
+    edges += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {x: find(x) for x in root if find(x) != x}
+    got = near_dup.components(spark.createDataFrame([e if rng.random() < 0.5 else e[::-1] for e in edges], "a long, b long"))
+    assert {r.rep: r.root for r in got.collect()} == want
+    assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_edges(docs_of):
     rows = [(None, "same words here now"), (7, "same words here now"), (4, "x y z"), (4, "p q r"), (8, "p q r"), (None, "nothing like it")]
     got = near_dup.near_duplicates(docs_of(rows), 2).collect()
