@@ -637,4 +637,4 @@ def rank_fusion(spark, sf_dir):
     return _shown(retrieval.with_columns_of(best, chunks, asked, 10, "num"))
 
 
-from corvane.plans import catalog_code, catalog_store  # noqa: E402, F401  they add their entries
+from corvane.plans import catalog_code, catalog_engine, catalog_store  # noqa: E402, F401  they add their entries
