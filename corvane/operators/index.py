@@ -10,6 +10,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.explode("tokens").alias("term"), "chunk_id").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
+def sized_postings(chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, tf and dl, the passage's number of tokens."""
+    rows = chunks.select(F.explode("tokens").alias("term"), "chunk_id", F.size("tokens").alias("dl"))
+    return rows.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
+
+
 def document_frequency(posted: DataFrame) -> DataFrame:
     """Passages that hold each term."""
     return posted.groupBy("term").agg(F.count("*").alias("n_chunks"))

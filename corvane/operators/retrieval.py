@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions import stem, text as tx, vector
-from corvane.operators import index
 
 #: A side of at most so many rows is broadcast; a larger one is joined by a shuffle.
 SMALL_ROWS = 20_000
@@ -94,9 +93,11 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: floa
         hits = term_hits(chunks, terms, few, carried)
         totals = totals_of(hits)
     else:
-        rows = chunks.select("chunk_id", *carried, (F.size("tokens") if "dl" not in chunks.columns else F.col("dl")).alias("dl"))
-        hits = posted.join(hint(terms.select("term").distinct()), "term").join(rows, "chunk_id")
-        totals = index.stats(chunks).select(F.col("total_chunks").cast("double").alias("total"), F.col("avg_chunk_len").alias("mean"))
+        size = F.col("dl") if "dl" in chunks.columns else F.size("tokens")
+        hits = posted.join(hint(terms.select("term").distinct()), "term")
+        if carried or "dl" not in posted.columns:  # postings with the passage's length need no other table
+            hits = hits.drop("dl").join(chunks.select("chunk_id", *carried, size.alias("dl")), "chunk_id")
+        totals = chunks.agg(F.count("*").cast("double").alias("total"), F.coalesce(F.avg(size), F.lit(0.0)).alias("mean"))
     freq = hits.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("n_term"))
     weighted = terms.join(freq, "term").crossJoin(F.broadcast(totals)).withColumn("idf", idf(F.col("total"), F.col("n_term")))
     if path_weight:

@@ -65,7 +65,7 @@ class Agent:
 
     def pack(self, question: str, pool) -> str:
         docs = self.engine.store.read("docs")
-        rows = pool.withColumn("query_id", F.lit(0).cast("long")).join(docs.select("doc_id", "mod_time"), "doc_id", "left")
+        rows = pool.withColumn("query_id", F.lit(0).cast("long"))
         packed = packing.packed_context(self.engine.queries(question), rows, docs, self.budget, self.engine.config.pack.recency_boost)
         return packing.context_text(packed).first()["context"]
 

@@ -67,8 +67,8 @@ class Engine:
         fields = ("doc_id", "path", "text", "mod_time", "lang")
         parts = {"docs": self.store.put("docs", docs.join(status.where("status in ('insert', 'update')"), "path", "left_semi").select(*fields))}
         new = self.store.part(parts["docs"])
-        parts["chunks"] = self.store.put("chunks", self.chunks_of(new).withColumn("dl", F.size("tokens")).drop("mod_time", "lang", "num"))
-        parts["postings"] = self.store.put("postings", index.postings(self.store.part(parts["chunks"])))
+        parts["chunks"] = self.store.put("chunks", self.chunks_of(new).withColumn("dl", F.size("tokens")).drop("lang", "num"))
+        parts["postings"] = self.store.put("postings", index.sized_postings(self.store.part(parts["chunks"])))
         marked = new.where("lang = 'go'")
         parts["symbols"] = self.store.put("symbols", golang.symbols(marked).unionByName(code.prefix_symbols(new)))
         parts["calls"] = self.store.put("calls", code.resolve_calls(golang.calls(marked), self.store.part(parts["symbols"])))
@@ -156,16 +156,19 @@ class Engine:
         return retrieval.hybrid(self._vectors(queries, lenient=True), chunks, vectors, k, r.bm25_weight, **options)
 
     def retrieve(self, queries: DataFrame, k: int = 0, mode: str = "", diverse: bool = True) -> DataFrame:
-        """Passages with path, lines, score and text; diversity chooses k of twice as many and the threshold follows."""
+        """Passages with path, lines, score, text and time; diversity chooses k of twice as many and the threshold follows.
+
+        What is found, a bounded list of each query, is sent to the stored passages rather than these to it.
+        """
         r = self.config.retrieve
         k = k or r.top_k
-        chunks = self.store.read("chunks").select("chunk_id", "doc_id", "path", "start_line", "end_line", "text", "tokens")
+        chunks = self.store.read("chunks")
+        found = self.candidates(queries, 2 * k if diverse else k, mode).select("query_id", "chunk_id", "score", "rank")
         if diverse:
-            found = self.candidates(queries, 2 * k, mode).join(chunks.select("chunk_id", "tokens"), "chunk_id")
+            found = retrieval.with_columns_of(found, chunks, queries, 2 * k, "tokens")
             found = retrieval.threshold(rerank.mmr(found, k, r.mmr_lambda, r.dedup_jaccard), r.min_score_threshold)
-        else:
-            found = self.candidates(queries, k, mode)
-        return found.join(chunks.drop("tokens"), "chunk_id").select("query_id", "rank", "chunk_id", "doc_id", "path", "start_line", "end_line", "score", "text")
+        found = retrieval.with_columns_of(found, chunks, queries, k, "doc_id", "path", "start_line", "end_line", "text", "mod_time")
+        return found.select("query_id", "rank", "chunk_id", "doc_id", "path", "start_line", "end_line", "score", "text", "mod_time")
 
     def query(self, text: str, k: int = 0, mode: str = "", diverse: bool = True, context: int = 0) -> list:
         """Rows for one question, from the cache if it was asked before."""
@@ -182,7 +185,7 @@ class Engine:
     def pack(self, queries: DataFrame, budget: int = 0, k: int = 0) -> DataFrame:
         """Contexts of many queries, from keyword search."""
         p = self.config.pack
-        found = self.retrieve(queries, k, mode="bm25").join(self.store.read("docs").select("doc_id", "mod_time"), "doc_id", "left")
+        found = self.retrieve(queries, k, mode="bm25")
         return packing.packed_context(queries, found, self.store.read("docs"), budget or p.token_budget, p.recency_boost)
 
     def pack_json(self, text: str, budget: int = 0, path: str | None = None, k: int = 0) -> str:
