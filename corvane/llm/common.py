@@ -6,6 +6,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+import weakref
 from itertools import chain, filterfalse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,15 +83,22 @@ class Memo(dict):
 
     ``fill`` computes what a batch needs and lacks, in one call; above
     ``limit`` entries only those of the batch at hand are kept, so memory is
-    bounded whatever the vocabulary of the corpus.
+    bounded whatever the vocabulary of the corpus.  A worker serves one stage
+    after the other: memos of another ``use`` are emptied when one is filled.
     """
 
-    def __init__(self, compute, limit: int):
+    live: weakref.WeakValueDictionary = weakref.WeakValueDictionary()
+
+    def __init__(self, compute, limit: int, use: str):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.use = compute, limit, use
+        Memo.live[id(self)] = self
 
     def fill(self, *batches) -> None:
         """Make sure that every key of the given collections of keys is there."""
+        for other in list(Memo.live.values()):
+            if other.use != self.use:
+                other.clear()
         missing = set(filterfalse(self.__contains__, chain.from_iterable(batches)))
         if len(self) + len(missing) > self.limit:
             held = {k: self[k] for k in set().union(*batches) - missing}

@@ -76,7 +76,7 @@ def _hash_words(words: list[bytes]) -> list[int]:
 
 @functools.lru_cache(maxsize=1)
 def _memo() -> Memo:
-    return Memo(_hash_words, 600_000)
+    return Memo(_hash_words, 600_000, "shingles")
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:

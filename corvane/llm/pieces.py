@@ -70,7 +70,7 @@ class Pieces:
             self.spell[i] = t.replace(MARK, " ").encode()
         for b, i in enumerate(self.bytes):
             self.spell[i] = bytes([b])
-        self.memo = Memo(self._search_all, limit)
+        self.memo = Memo(self._search_all, limit, "pieces")
 
     @staticmethod
     def _points(words: list[str]) -> np.ndarray:

@@ -101,7 +101,7 @@ class Counter:
         if zlib.crc32(data) != proof.checksum:
             raise ValueError(f"{model} is not the model of the proof")
         self.sp, self.whole = sentencepiece.SentencePieceProcessor(model_proto=data), proof.whole
-        self.counts = Memo(self._count, limit)
+        self.counts = Memo(self._count, limit, "token counts")
         self.merged = 0
 
     def _count(self, units: list[str]) -> list[int]:

@@ -156,8 +156,8 @@ class WordEncoder:
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces = Memo(lambda p: self._run(self.bare, p), pieces)
-        self.words = Memo(lambda w: self._run(self.full, w), words)
+        self.pieces = Memo(lambda p: self._run(self.bare, p), pieces, "token ids")
+        self.words = Memo(lambda w: self._run(self.full, w), words, "token ids")
 
     @staticmethod
     def _run(tokenizer, texts: list[str]) -> list[bytes]:

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 
 from corvane.llm import pieces, token_counts, token_files
-from corvane.llm.common import scratch
+from corvane.llm.common import Memo, scratch
 
 WORDS, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ALPHABET = ["a", "B", "é", "É", "é", "  ", " ", "\n", "\t", "\x1c", "'s", "'LL", "1", "23", "<|endoftext|>", "<|", "&&", "▁", "ß", "Σ", "ς", "日本", "\xa0", "　", "😀", "\r\n", "İ", "<s>", "the", "\x00"]
@@ -150,3 +150,14 @@ def test_pieces_round_trip(docs_of, spark):
     assert all(r.restored and r.n_tokens == len(r.ids) and r.exact == (r.doc_id != 3) for r in got)
     assert pieces.decode_documents(table, PIECES).where("doc_id = 3").first().text == "a b"
     assert pieces.encode_documents(docs_of([(1, "x")]).where("false")).count() == 0
+
+
+def test_memos_of_other_uses_are_emptied():
+    a, b, c = (Memo(lambda keys: [k * 2 for k in keys], 4, use) for use in ("one", "one", "two"))
+    a.fill([1, 2])
+    b.fill([3])
+    assert a == {1: 2, 2: 4} and b == {3: 6}
+    a.fill([5, 6, 7, 1])
+    assert a == {5: 10, 6: 12, 7: 14, 1: 2}  # above the limit only those at hand
+    c.fill([1])
+    assert c == {1: 2} and not a and not b
