@@ -166,9 +166,15 @@ def chunk_metadata(chunks: DataFrame, symbols: DataFrame, calls: DataFrame) -> D
     listed = F.array_sort(F.collect_list(F.struct("line", "id", "name", "type", "signature")))
     found = inside.groupBy("chunk_id").agg(listed.alias("s"))
     first = found.select("chunk_id", F.transform("s", lambda x: x["id"]).alias("symbols"), F.element_at("s", 1).alias("p"))
-    out = calls.groupBy(F.col("caller_id").alias("pid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "callee_id"))), lambda x: x["callee_id"]).alias("calls"))
-    into = calls.groupBy(F.col("callee_id").alias("pid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "caller_id"))), lambda x: x["caller_id"]).alias("called_by"))
-    rows = chunks.select("chunk_id", "text").join(first, "chunk_id", "left").withColumn("pid", F.when(F.col("p.type").isin("function", "method"), F.col("p.id")))
+    rows = chunks.select("chunk_id", "text").join(first, "chunk_id", "left")
+    # Passages without a function have a key of their own, so that they do not all meet as nulls.
+    known = F.col("p.type").isin("function", "method")
+    rows = rows.withColumn("pid", F.when(known, F.col("p.id")).otherwise(F.concat(F.lit("-"), "chunk_id")))
+    # Only calls of and to these functions are gathered, not those to the names that everyone calls.
+    asked = rows.where(known).select("pid").distinct()
+    of = lambda side: calls.withColumn("pid", F.col(side)).join(asked, "pid", "left_semi").groupBy("pid")
+    out = of("caller_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "callee_id"))), lambda x: x["callee_id"]).alias("calls"))
+    into = of("callee_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "caller_id"))), lambda x: x["caller_id"]).alias("called_by"))
     rows = rows.join(out, "pid", "left").join(into, "pid", "left")
     kind = F.when(F.col("p.type").isin("function", "method"), "function").when(F.col("p.type").isin("interface", "struct", "type", "class"), F.col("p.type")).otherwise("mixed")
     none = F.array().cast("array<string>")

@@ -177,7 +177,8 @@ def vector_subset(queries: DataFrame, vectors: DataFrame, candidates: DataFrame)
 
 def semantic(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Vector search; vectors without a passage are dropped after the limit."""
-    return vector_top(queries, vectors, k).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    found = vector_top(queries, vectors, k)
+    return with_columns_of(found, chunks, queries, k).select(found.columns)
 
 
 def blend(keyword: DataFrame, cosines: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -199,7 +200,9 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, we
     scores.  The candidates, a bounded list of each query, are kept for their
     several uses.
     """
-    keyword = bm25(queries, chunks, max(10 * k, 50), **options).select("query_id", "chunk_id", "score").persist()
+    most = max(10 * k, 50)
+    keyword = bm25(queries, chunks, most, **options).select("query_id", "chunk_id", "score").persist()
+    keyword = F.broadcast(keyword) if is_small(queries, SMALL_ROWS // most) else keyword
     known = queries.where("vector is not null")
     here = known.select("query_id")
     mixed = blend(keyword.join(here, "query_id", "left_semi"), vector_subset(known, vectors, keyword), weight)
