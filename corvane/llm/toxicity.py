@@ -241,7 +241,7 @@ def _origin(text: str, span: tuple[int, int]) -> list[int]:
 def _families(docs: list[set[str]], rng) -> np.ndarray:
     """For each document the first one that is like it: a shared band of minima over its words, confirmed on all of them."""
     vocabulary = {w: i for i, w in enumerate(sorted(set().union(*docs)))}
-    orders = np.stack([rng.permutation(len(vocabulary)) for _ in range(24)])
+    orders = np.stack([rng.permutation(len(vocabulary)).astype(np.int32) for _ in range(24)])
     met, out = {}, np.arange(len(docs))
     for i, words in enumerate(docs):
         if words:
@@ -260,20 +260,19 @@ def _families(docs: list[set[str]], rng) -> np.ndarray:
 
 def _seeds(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
     """Features that mark toxic documents beyond chance."""
-    counts: dict[str, list[int]] = {}
-    for words, y in zip(docs, toxic.tolist(), strict=True):
-        for f in {f for w in words for f in features(w)}:
-            counts.setdefault(f, [0, 0])[y] += 1
+    held = [np.fromiter({hash(f) for w in words for f in features(w)}, np.int64) for words in docs]
+    none = [np.empty(0, np.int64)]
+    keys, n = np.unique(np.concatenate(held + none), return_counts=True)
+    marked, bad_n = np.unique(np.concatenate([h for h, y in zip(held, toxic.tolist(), strict=True) if y] + none), return_counts=True)
+    bad = np.zeros(len(keys), np.int64)
+    bad[np.searchsorted(keys, marked)] = bad_n
     base = toxic.mean()
-    tried = sum(a + b > 2 for a, b in counts.values())
-    need = math.log(max(2, tried)) + 1
-
-    def surprise(clean: int, bad: int) -> float:
-        n = clean + bad
-        x = bad / n
-        return n * (x * math.log(x / base) + ((1 - x) * math.log((1 - x) / (1 - base)) if x < 1 else 0))
-
-    return {f for f, (clean, bad) in counts.items() if bad > 2 and bad / (clean + bad) > max(0.5, 1.5 * base) and surprise(clean, bad) > need}
+    need = math.log(max(2, int((n > 2).sum()))) + 1
+    x = bad / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = n * (np.where(x > 0, x * np.log(x / base), 0) + np.where(x < 1, (1 - x) * np.log((1 - x) / (1 - base)), 0))
+    chosen = set(keys[(bad > 2) & (x > max(0.5, 1.5 * base)) & (surprise > need)].tolist())
+    return {f for words, y in zip(docs, toxic.tolist(), strict=True) if y for w in words for f in features(w) if hash(f) in chosen}
 
 
 def fit(texts: list[str], labels: list[int], shares: tuple[float, float] | None = None, epochs: int = 8) -> Field:
@@ -286,7 +285,8 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float] | None
     if not len(y) or y.min() == y.max():
         model.calibration = [-50.0 if not len(y) or y.max() == 0 else 50.0, 0.0, 0.0]
         return model
-    words = [_TOKEN.findall(t.lower()) if t else [] for t in texts]
+    one: dict[str, str] = {}  # each word is held once
+    words = [[one.setdefault(w, w) for w in _TOKEN.findall(t.lower())] if t else [] for t in texts]
     rng = np.random.default_rng(7)
     family = _families([set(w) for w in words], rng)
     lone = [i for i in range(len(y)) if family[i] == i or y[i] != y[family[i]]]
@@ -362,7 +362,7 @@ def fit(texts: list[str], labels: list[int], shares: tuple[float, float] | None
     model.weights = {f: float(x) for f, x in zip(names, weight, strict=False) if abs(x) > 1e-3}
     model.bias, model.trans = float(weight[-1]), trans.tolist()
     # Logistic calibration of the documents' scores by Newton's method.
-    p = model.marginals(texts)
+    p = [q for at in range(0, len(texts), 250) for q in model.marginals(texts[at : at + 250])]
     x = np.array([summary(q) for q in p])
     # The documents left of a label stand for those of their families as well.
     shares = np.array(shares or (1.0, 1.0)) * sampled / np.bincount(y, minlength=2)
