@@ -2,6 +2,7 @@ import io
 import json
 import math
 import random
+import re
 import time
 from collections import Counter
 from itertools import product
@@ -86,6 +87,35 @@ def test_learns_spans_and_scores(spark):
     assert all(r.score < 1e-9 for r in toxicity.tag(docs, none).collect())
 
 
+def test_query_against_plain_recursions(spark, tmp_path):
+    """Every column of the registered query, by sums over both states at each token of each whole text."""
+    import zlib
+
+    rows = labelled(400, 6) + [(9000, "Vilum ok krakzot", 1), (9001, "", 0), (9002, "ok " * 3000 + "krakzin", 1)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.query(spark, str(tmp_path)).collect()}
+    field = toxicity.learn(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    tt, tc, ct = (math.exp(x) for x in field.trans)
+    assert set(got) == {i for i, _, _ in rows}
+    for i, text, _ in rows:
+        emit = [math.exp(field.bias + sum(field.weights.get(f, 0.0) for f in toxicity.features(w))) for w in re.findall(r"\w+", text.lower())]
+        ahead, back = [], [(1.0, 1.0)]
+        for e in emit:  # weights of ending clean and toxic, from a clean start
+            c, t = ahead[-1] if ahead else (1.0, 0.0)
+            c, t = c + t * tc, (c * ct + t * tt) * e
+            ahead.append((c / (c + t), t / (c + t)))
+        for e in reversed(emit[1:]):
+            c, t = back[-1]
+            c, t = c + ct * e * t, tc * c + tt * e * t
+            back.append((c / (c + t), t / (c + t)))
+        p = [b * y / (a * x + b * y) for (a, b), (x, y) in zip(ahead, reversed(back))]
+        a, b, c = field.calibration
+        score = 1 / (1 + math.exp(-max(-50, min(50, a + b * max(p, default=0.0) + c * math.log1p(sum(x for x in p if x > toxicity.FLOOR))))))
+        assert got[i].score == pytest.approx(score, abs=1e-9), i
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and got[i].predicted == int(got[i].score >= 0.3)
+
+
 def test_toxicity_edges(spark):
     """Repeated rows score alike, a very long text is read to its end, columns named like the results are ignored, the order of rows does not matter."""
     rows = labelled(500, 2)
