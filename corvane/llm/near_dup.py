@@ -76,7 +76,7 @@ def _hash_words(words: list[bytes]) -> list[int]:
 
 @functools.lru_cache(maxsize=1)
 def _memo() -> Memo:
-    return Memo(_hash_words, 600_000, "shingles")
+    return Memo(_hash_words, 300_000, "shingles")
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -371,13 +371,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = written(filled.groupBy("digest").agg(F.min(F.struct("key", "row")).alias("rep")).select("digest", "rep.key", "rep.row"), "near-reps")
     nodes = written(filled.select("doc_id", "key", "n_shingles", "digest").join(reps.select("digest", F.col("key").alias("rep")), "digest").select("doc_id", "key", "n_shingles", "rep"), "near-nodes")
     empty = written(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"), F.lit(None).cast("long").alias("key")), "near-empty")
-    banded = written(filled.join(reps.select("row"), "row", "left_semi").select(F.col("key").alias("rep"), F.col("n_shingles").alias("size"), "bands"), "near-bands")
+    banded = written(filled.join(reps.select("row").hint("merge"), "row", "left_semi").select("row", F.col("key").alias("rep"), F.col("n_shingles").alias("size"), "bands"), "near-bands")
     discard(signed, reps)
 
-    banded = banded.select("rep", "size", F.explode("bands").alias("band"))
-    met = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("members"))
-    met = met.where("low != high").groupBy("low", "high", "n", "members").agg(F.min("band").alias("band"), F.count("*").alias("weight"))
-    crowds = written(banded.join(met.select("band", "weight", "low"), "band"), "near-crowds")
+    banded = banded.select("row", "rep", "size", F.explode("bands").alias("band"))
+    # Rows tell the sets of a repeated doc_id apart, so that none cancels another out.
+    met = banded.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("members"))
+    met = met.where("n > 1").groupBy("low", "n", "members").agg(F.min("band").alias("band"), F.count("*").alias("weight"))
+    crowds = written(banded.drop("row").join(met.select("band", "weight", "low"), "band"), "near-crowds")
     # These sets serve all that follows.
     ids = written(crowds.select(F.col("rep").alias("key")).distinct(), "near-ids")
     texts = semi_join(docs, ids, "left_semi").select("key", "text")

@@ -45,7 +45,7 @@ def zipf(ranks: np.ndarray) -> np.ndarray:
 class Pieces:
     """A model's pieces with scores: encodes and decodes batches of texts."""
 
-    def __init__(self, model: str, scores: str = "zipf", limit: int = 700_000):
+    def __init__(self, model: str, scores: str = "zipf", limit: int = 400_000):
         import sentencepiece
 
         prove(model)  # the cuts below are sound for this model

@@ -196,7 +196,7 @@ class Field:
     def marginals(self, texts: list[str | None]) -> list[np.ndarray]:
         """Toxic marginals of each text's tokens."""
         if "memo" not in self.__dict__:
-            self.memo = Memo(self._emit, 600_000, "toxicity")
+            self.memo = Memo(self._emit, 300_000, "toxicity")
         words = [_TOKEN.findall(t.lower()) if t else [] for t in texts]
         self.memo.fill(*words)
         get = self.memo.__getitem__

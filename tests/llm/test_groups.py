@@ -99,6 +99,20 @@ def test_near_duplicates_edges(docs_of):
     assert sorted(r.doc_id for r in stay.collect()) == [1, 3] and stay.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_repeated_ids_with_near_texts(docs_of):
+    """Sets of one doc_id that share buckets hide no bucket of others."""
+    rng = random.Random(8)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows, groups = [], []
+    for g in range(12):
+        words = text()
+        near = [" ".join(words[:at] + [f"y{g}-{at}"] + words[at + 1 :]) for at in (1, 58)]
+        rows += [(10 * g, near[0]), (10 * g, near[1]), (10 * g + 5, " ".join(words)), (10 * g + 5, " ".join(words + ["z"]))]
+        groups.append({10 * g, 10 * g + 5})
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs_of(rows), 2).collect()}
+    assert got == {d: min(g) for g in groups for d in g}
+
+
 def test_drop_near_duplicates_without_ids(docs_of):
     """Rows without doc_id are compared like others; different texts of one doc_id are documents of their own."""
     long = [f"w{i}" for i in range(100)]
