@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf."""
+def repeats(rows: DataFrame, key: str) -> bool:
+    """Whether any two rows have the same key; only the keys are read and shuffled."""
+    return not rows.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def counted(rows: DataFrame, *columns: str, extra: Column | None = None) -> DataFrame:
+    """The columns, and term and tf of each distinct token of every row (and of ``extra``, an array of such pairs).
+
+    All tokens of a passage are in one row, so they are sorted and counted
+    there, as runs of equal ones; nothing is shuffled or kept for it.
+    """
+    s, at = F.col("_sorted"), F.col("_starts")
+    rows = rows.select(*columns, F.sort_array("tokens").alias("_sorted"))
+    places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select(*columns, "_sorted", F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))).alias("_starts"))
+    runs = F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).cast("long").alias("tf")))
+    return rows.select(*columns, F.inline(runs if extra is None else F.concat(runs, extra)))
+
+
+def postings(chunks: DataFrame, distinct: bool = False) -> DataFrame:
+    """term, chunk_id, tf; with ``distinct`` no two passages may have the same id, and nothing is shuffled."""
+    if distinct:
+        return counted(chunks, "chunk_id").select("term", "chunk_id", "tf")
     return chunks.select(F.explode("tokens").alias("term"), "chunk_id").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
@@ -21,6 +42,13 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("n_chunks"))
 
 
+def passages_with(chunks: DataFrame, distinct: bool = False) -> DataFrame:
+    """The same from the passages; with ``distinct`` no two of them may have the same id, and only counts of terms are shuffled."""
+    if distinct:
+        return document_frequency(chunks.select(F.explode(F.array_distinct("tokens")).alias("term")))
+    return document_frequency(postings(chunks))
+
+
 def vocabulary(posted: DataFrame) -> DataFrame:
     return posted.select("term").distinct()
 

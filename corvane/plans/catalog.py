@@ -91,6 +91,11 @@ def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.whole_documents(corpus.documents(spark, sf_dir))
 
 
+def _distinct(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether no doc_id is repeated, so that no two passages have the same id."""
+    return not index.repeats(corpus.table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _shown(found: DataFrame) -> DataFrame:
     """Results by the documents' own numbers, scores rounded to what both engines agree on."""
     return found.select("query_id", F.col("num").alias("doc_num"), F.round("score", 6).alias("score"), "rank")
@@ -163,12 +168,12 @@ def vocabulary(spark, sf_dir):
 @entry(f"WITH {_DOCS} SELECT term, num, count(*) AS tf FROM (SELECT num, unnest(tokens) AS term FROM toks) GROUP BY term, num")
 def term_freq(spark, sf_dir):
     chunks = _whole(spark, sf_dir).withColumn("chunk_id", F.col("num"))
-    return index.postings(chunks).withColumnRenamed("chunk_id", "num")
+    return index.postings(chunks, _distinct(spark, sf_dir)).withColumnRenamed("chunk_id", "num")
 
 
 @entry(f"WITH {_DOCS} SELECT term, count(DISTINCT num) AS n_chunks FROM (SELECT num, unnest(tokens) AS term FROM toks) GROUP BY term")
 def doc_freq(spark, sf_dir):
-    return index.document_frequency(index.postings(_whole(spark, sf_dir)))
+    return index.passages_with(_whole(spark, sf_dir), _distinct(spark, sf_dir))
 
 
 @entry(f"""WITH {_DOCS} SELECT count(DISTINCT doc_id) AS total_docs, count(*) AS total_chunks, round(avg(len(tokens)), 6) AS avg_chunk_len,
@@ -253,7 +258,7 @@ def line_chunks(spark, sf_dir):
 
 @entry(f"WITH RECURSIVE {_CHUNKS} SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest({_tokens('text')}) AS term FROM chunks) GROUP BY term, chunk_id")
 def postings_by_chunk(spark, sf_dir):
-    return index.postings(_lines(spark, sf_dir))
+    return index.postings(_lines(spark, sf_dir), _distinct(spark, sf_dir))
 
 
 # --- retrieval ----------------------------------------------------------------------
