@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corvane.functions import stem, text as tx, vector
+from corvane.operators import index
 
 #: A side of at most so many rows is broadcast; a larger one is joined by a shuffle.
 SMALL_ROWS = 20_000
@@ -60,45 +61,60 @@ def path_boost(path: Column, terms: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(tx.path_tokens(path), lambda t: F.array_contains(terms, t))), F.size(terms)), F.lit(0.0))
 
 
-def term_hits(chunks: DataFrame, terms: DataFrame, few: bool, keep: tuple[str, ...] = ()) -> DataFrame:
+def term_hits(chunks: DataFrame, terms: DataFrame, few: bool, keep: tuple[str, ...] = (), distinct: bool | None = None) -> DataFrame:
     """term, chunk_id, dl, tf and the columns ``keep`` of the wanted terms (broadcast if ``few``), and a row of the term ``ITSELF`` for every passage.
 
-    One pass over the passages gives all that scoring needs; only the rows of
-    wanted terms leave it, counted before they are shuffled.
+    One pass over the passages gives all that scoring needs.  Terms are
+    counted inside their passage; only the rows of wanted terms leave it, and
+    meet again by passage, so a sum over the terms of a passage needs no other
+    shuffle.  Passages of the same id (looked for unless ``distinct`` is
+    given) are counted as one.
     """
+    chunks = chunks.where("chunk_id is not null")
+    if distinct is None:
+        distinct = not index.repeats(chunks, "chunk_id")
     wanted = terms.select("term").union(terms.sparkSession.createDataFrame([(ITSELF,)], "term string")).distinct()
-    rows = chunks.where("chunk_id is not null").select("chunk_id", *keep, F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(F.lit(ITSELF)))).alias("term"))
-    return rows.join(F.broadcast(wanted) if few else wanted, "term").groupBy("term", "chunk_id", "dl", *keep).agg(F.count("*").alias("tf"))
+    itself = F.array(F.struct(F.lit(ITSELF).alias("term"), F.lit(1).cast("long").alias("tf")))
+    rows = index.counted(chunks.select("chunk_id", *keep, F.size("tokens").alias("dl"), "tokens"), "chunk_id", "dl", *keep, extra=itself)
+    hits = rows.join(F.broadcast(wanted) if few else wanted, "term").select("term", "chunk_id", "dl", *keep, "tf").repartition("chunk_id")
+    return hits if distinct else hits.groupBy("term", "chunk_id", "dl", *keep).agg(F.sum("tf").alias("tf"))
+
+
+def whole(hits: DataFrame) -> Column:
+    """True, but of every column: a use that needs few of them would have the others cut off below the shuffle, and so a shuffle and a pass of its own."""
+    return F.size(F.array(*[F.col(c).cast("string") for c in hits.columns])) > 0
 
 
 def totals_of(hits: DataFrame) -> DataFrame:
     """One row: passages and their mean tokens, from the rows of ``ITSELF``."""
-    own = lambda c: F.sum(F.when(F.col("term") == ITSELF, c)).cast("double")  # noqa: E731  a filter would part this from the other uses of hits
+    own = lambda c: F.sum(F.when((F.col("term") == ITSELF) & whole(hits), c)).cast("double")  # noqa: E731  a filter would part this from the other uses of hits
     return hits.agg(own(F.col("tf")).alias("total"), F.coalesce(F.try_divide(own(F.col("dl") * F.col("tf")), own(F.col("tf"))), F.lit(0.0)).alias("mean"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, path_weight: float = 0.0, stemming: bool = False, posted: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, path_weight: float = 0.0, stemming: bool = False, posted: DataFrame | None = None, keep: tuple[str, ...] = (), distinct: bool | None = None) -> DataFrame:
     """The k best passages of each query by BM25, boosted by path parts, with the columns ``keep`` of the passages.
 
     The passages are read once: frequencies, totals and scores all come from
     the counted hits of the wanted terms, whose shuffle Spark reuses.  What is
     broadcast is bounded by the queries' own terms.  ``posted`` takes stored
-    postings instead.
+    postings instead.  ``distinct`` says whether no two passages have the same
+    id, if that is known.
     """
     terms = query_terms(queries, stemming)
     few = is_small(terms)
     hint = F.broadcast if few else lambda df: df
     carried = tuple(dict.fromkeys((*keep, "path") if path_weight else keep))
     if posted is None:
-        hits = term_hits(chunks, terms, few, carried)
-        totals = totals_of(hits)
+        hits = term_hits(chunks, terms, few, carried, distinct)
+        totals, held = totals_of(hits), whole(hits)
     else:
         size = F.col("dl") if "dl" in chunks.columns else F.size("tokens")
         hits = posted.join(hint(terms.select("term").distinct()), "term")
         if carried or "dl" not in posted.columns:  # postings with the passage's length need no other table
             hits = hits.drop("dl").join(chunks.select("chunk_id", *carried, size.alias("dl")), "chunk_id")
         totals = chunks.agg(F.count("*").cast("double").alias("total"), F.coalesce(F.avg(size), F.lit(0.0)).alias("mean"))
-    freq = hits.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("n_term"))
+        held = F.lit(True)
+    freq = hits.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) & held, 1)).alias("n_term"))
     weighted = terms.join(freq, "term").crossJoin(F.broadcast(totals)).withColumn("idf", idf(F.col("total"), F.col("n_term")))
     if path_weight:
         sets = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))

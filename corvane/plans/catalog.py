@@ -453,7 +453,7 @@ def simple_rerank(spark, sf_dir):
 def _packable(spark, sf_dir, k: int = 20):
     """Passages by line chunks for one query, with what packing needs; their texts are cut again from the few documents found."""
     asked = _asked(spark, QUERY)
-    found = retrieval.bm25(asked, _lines(spark, sf_dir), k, keep=("num", "doc_id", "path", "mod_time", "start_line", "end_line"))
+    found = retrieval.bm25(asked, _lines(spark, sf_dir), k, keep=("num", "doc_id", "path", "mod_time", "start_line", "end_line"), distinct=_distinct(spark, sf_dir))
     docs = corpus.documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("whole"))
     wide = retrieval.with_columns_of(found.withColumnRenamed("chunk_id", "id").withColumn("chunk_id", F.col("doc_id")), docs, asked, k, "whole")
     text = F.regexp_replace(tx.line_slice(tx.lines_of("whole"), F.col("start_line"), F.col("end_line")), "^\n+", "")

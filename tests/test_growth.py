@@ -30,3 +30,24 @@ def test_postings_are_counted_in_their_row(passages):
 def test_frequencies_shuffle_counts_of_terms(passages):
     assert {tuple(r) for r in index.passages_with(passages, distinct=True).collect()} == {("x", 2), ("y", 2), ("z", 1)}
     assert plan(index.passages_with(passages, distinct=True)).count("Exchange hashpartitioning") == 1
+
+
+def test_repeated_ids_count_as_one_passage(spark, passages):
+    twice = passages.unionByName(passages.where("chunk_id = 'a'"))
+    assert index.repeats(twice, "chunk_id") and not index.repeats(passages, "chunk_id")
+    asked = spark.createDataFrame([(0, "xx yy")], "query_id long, text string")
+    hits = retrieval.term_hits(twice, spark.createDataFrame([("x",), ("y",)], "term string"), True)
+    assert {(r.term, r.chunk_id, r.tf) for r in hits.where("chunk_id = 'a'").collect()} == {("", "a", 2), ("x", "a", 4), ("y", "a", 2)}
+    assert retrieval.bm25(asked, twice, 5).count() == 0
+
+
+def test_scores_of_a_passage_are_summed_where_its_hits_are(spark, passages):
+    """Terms, pairs of query and passage, and totals come from one shuffle by passage."""
+    asked = spark.createDataFrame([(0, "foo bar"), (1, "bar")], "query_id long, text string")
+    chunks = spark.createDataFrame([("a", ["foo", "bar", "foo"]), ("b", ["bar"]), ("c", ["far"])], "chunk_id string, tokens array<string>")
+    got = retrieval.bm25(asked, chunks, 5)
+    rows = got.collect()
+    assert [(r.query_id, r.chunk_id, r["rank"]) for r in sorted(rows)] == [(0, "a", 1), (0, "b", 2), (1, "a", 2), (1, "b", 1)]
+    text = plan(got)
+    assert "hashpartitioning(chunk_id" in text and "hashpartitioning(query_id#" in text
+    assert not [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", text) if "chunk_id" in x and "," in x.replace(", 4", "")]
