@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from array import array
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corvane.functions import stem, text as tx
@@ -36,12 +39,24 @@ def greedy_spans(counts: list[int], most: int, overlap: int, closed: bool = True
     return spans
 
 
+def span_arrays(counts: pa.Array, most: int, overlap: int) -> pa.Array:
+    """Greedy spans of every list of counts; one list at a time is a list of Python numbers, the rest stays in packed arrays."""
+    first, end, offsets = array("i"), array("i"), array("i", [0])
+    for row in counts:
+        for a, b in greedy_spans(row.values.to_pylist(), most, overlap):
+            first.append(a)
+            end.append(b)
+        offsets.append(len(first))
+    ints = lambda values: pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32())
+    return pa.ListArray.from_arrays(ints(offsets), pa.StructArray.from_arrays([ints(first), ints(end)], ["first", "end"]))
+
+
 def spans(counts: Column, most: int, overlap: int) -> Column:
     """Greedy spans of an array of token counts of lines; only the counts travel to Python."""
 
-    @F.pandas_udf(SPANS)
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(lambda c: [{"first": a, "end": b} for a, b in greedy_spans([int(x) for x in c], most, overlap)])
+    @F.arrow_udf(SPANS)
+    def run(column: pa.Array) -> pa.Array:
+        return span_arrays(column, most, overlap)
 
     return run(counts)
 

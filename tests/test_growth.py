@@ -51,3 +51,10 @@ def test_scores_of_a_passage_are_summed_where_its_hits_are(spark, passages):
     text = plan(got)
     assert "hashpartitioning(chunk_id" in text and "hashpartitioning(query_id#" in text
     assert not [x for x in re.findall(r"hashpartitioning\(([^)]*)\)", text) if "chunk_id" in x and "," in x.replace(", 4", "")]
+
+
+def test_spans_come_from_packed_counts():
+    counts = pa.array([[3, 4, 5, 1], [], [0, 0], [9]], pa.list_(pa.int32()))
+    for column in (counts, counts.slice(1, 3)):
+        want = [[{"first": a, "end": b} for a, b in chunking.greedy_spans(c, 8, 2)] for c in column.to_pylist()]
+        assert chunking.span_arrays(column, 8, 2).to_pylist() == want
