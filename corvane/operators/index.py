@@ -31,10 +31,20 @@ def postings(chunks: DataFrame, distinct: bool = False) -> DataFrame:
     return chunks.select(F.explode("tokens").alias("term"), "chunk_id").groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
-def sized_postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf and dl, the passage's number of tokens."""
-    rows = chunks.select(F.explode("tokens").alias("term"), "chunk_id", F.size("tokens").alias("dl"))
-    return rows.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")).select("term", "chunk_id", "tf", "dl")
+def sized_postings(chunks: DataFrame, segments: int | None = None, distinct: bool = False) -> DataFrame:
+    """term, chunk_id, tf and dl, the passage's number of tokens.
+
+    With ``segments`` whole passages are dealt to so many partitions by their
+    id, before they are counted; with ``distinct`` no two have the same id.
+    """
+    rows = chunks.select("chunk_id", F.size("tokens").alias("dl"), "tokens")
+    rows = index_of(rows.repartition(segments, "chunk_id") if segments else rows)
+    return rows if distinct else rows.groupBy("term", "chunk_id", "dl").agg(F.sum("tf").alias("tf")).select("term", "chunk_id", "tf", "dl")
+
+
+def index_of(rows: DataFrame) -> DataFrame:
+    """term, chunk_id, tf and dl of rows with chunk_id, dl and tokens, each counted for itself."""
+    return counted(rows, "chunk_id", "dl").select("term", "chunk_id", "tf", "dl")
 
 
 def document_frequency(posted: DataFrame) -> DataFrame:

@@ -56,27 +56,30 @@ class Engine:
         """
         if self.store.check(self.config).needs_rebuild:
             self.store.clear()
-        fresh = not self.store.has("docs")
-        if fresh:
-            status = docs.select("path", F.lit("insert").alias("status"))
+        fields, status = ("doc_id", "path", "text", "mod_time", "lang"), None
+        if not self.store.has("docs"):
+            parts = {"docs": self.store.put("docs", docs.where("path is not null").select(*fields))}
+            new = self.store.part(parts["docs"])
+            counts = {"insert": new.count()}
         else:
             status = index.incremental_diff(self.store.read("docs"), docs)
-            status = status if whole else status.where("status != 'delete'")
-        status = status.persist()
-        counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-        fields = ("doc_id", "path", "text", "mod_time", "lang")
-        parts = {"docs": self.store.put("docs", docs.join(status.where("status in ('insert', 'update')"), "path", "left_semi").select(*fields))}
-        new = self.store.part(parts["docs"])
+            status = (status if whole else status.where("status != 'delete'")).persist()
+            counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+            wanted = status.where("status in ('insert', 'update')")
+            wanted = wanted if retrieval.is_small(wanted) else wanted.hint("shuffle_hash")  # texts are not sorted for it
+            parts = {"docs": self.store.put("docs", docs.join(wanted, "path", "left_semi").select(*fields))}
+            new = self.store.part(parts["docs"])
         parts["chunks"] = self.store.put("chunks", self.chunks_of(new).withColumn("dl", F.size("tokens")).drop("lang", "num"))
-        parts["postings"] = self.store.put("postings", index.sized_postings(self.store.part(parts["chunks"])))
+        parts["postings"] = self.store.put_postings(self.store.part(parts["chunks"]))
         marked = new.where("lang = 'go'")
         parts["symbols"] = self.store.put("symbols", golang.symbols(marked).unionByName(code.prefix_symbols(new)))
         parts["calls"] = self.store.put("calls", code.resolve_calls(golang.calls(marked), self.store.part(parts["symbols"])))
         gone = None
         if counts.get("delete", 0) + counts.get("update", 0):
-            gone = self.store.gone_with(status.where("status in ('delete', 'update')").join(self.store.read("docs"), "path"))
+            gone = self.store.gone_with(status.where("status in ('delete', 'update')").join(self.store.read("docs").select("path", "doc_id"), "path"))
         self.store.commit(self.config, parts, gone)
-        status.unpersist()
+        if status is not None:
+            status.unpersist()
         if self.config.embedding.enabled:
             self.embed()
         self.cache.invalidate()

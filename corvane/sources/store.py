@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corvane.config import Config
+from corvane.operators import index
 
 VERSION = 3
 TABLES = ("docs", "chunks", "postings", "vectors", "symbols", "calls")
@@ -28,6 +29,10 @@ KEYS = {"docs": "doc_id", "chunks": "doc_id", "symbols": "doc_id", "calls": "doc
 KINDS = {"doc_id": ["doc"], "chunk_id": ["chunk"], "id": ["chunk", "vector"]}
 #: A table of more parts than this is rewritten as one.
 MOST_PARTS = 8
+#: Postings of a segment: what one task sorts in memory; and those worth a task of their own while cores are idle.
+SEGMENT, SMALL_SEGMENT = 3_000_000, 250_000
+#: More bytes of gone ids than this are not broadcast.
+MOST_GONE = 8 << 20
 EMPTY = {"version": 0, "config_hash": "", "seq": 0, "tables": {}, "gone": [], "before": []}
 
 
@@ -123,19 +128,46 @@ class Store:
         if not later:
             return self._load(entries, False)
         key = KEYS[name]
+        # a table that is larger than its gone ids by far is shuffled, but not sorted
+        hint = (lambda df: df.hint("shuffle_hash")) if self._bytes(later) > MOST_GONE else (lambda df: df)
+        if max(n for _, n in entries) < min(n for _, n in later):  # all ids went after all rows came
+            gone = self._load(later, False).where(F.col("kind").isin(KINDS[key])).select(F.col("id").alias("_id")).distinct()
+            return self._load(entries, False).join(hint(gone), F.col(key) == F.col("_id"), "left_anti")
         gone = self._load(later, True).where(F.col("kind").isin(KINDS[key])).groupBy("id").agg(F.max("_seq").alias("_gone")).withColumnRenamed("id", "_id")
         rows = self._load(entries, True)
-        return rows.join(gone, (F.col(key) == F.col("_id")) & (F.col("_gone") > F.col("_seq")), "left_anti").drop("_seq")
+        return rows.join(hint(gone), (F.col(key) == F.col("_id")) & (F.col("_gone") > F.col("_seq")), "left_anti").drop("_seq")
+
+    def _bytes(self, entries: list) -> int:
+        """Bytes of the files of parts."""
+        return sum(files.getContentSummary(path).getLength() for path, files in (self._file(p) for p, _ in entries))
+
+    def segments(self, n: int) -> int:
+        """Segments for so many postings."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return max(-(-n // SEGMENT), min(cores, -(-n // SMALL_SEGMENT)), 1)
 
     def put(self, name: str, df: DataFrame) -> str:
         """Write rows as a part that no manifest names yet.
 
-        Postings are laid out by term, so a few terms read a few row groups;
-        passages share out a frequent term.
+        Postings are laid out in segments, each of the whole passages whose id
+        falls to it and sorted by term: a few terms read a few pages of each.
         """
+        if name == "postings":
+            return self._put(name, self._sorted(df.repartition(self.segments(df.count()), "chunk_id")))
+        return self._put(name, df)
+
+    def put_postings(self, chunks: DataFrame) -> str:
+        """The postings of passages (chunk_id, dl, tokens) as a part: passages are dealt to segments before they are counted, so each is shuffled once, as an array."""
+        n = chunks.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
+        return self._put("postings", self._sorted(index.sized_postings(chunks, self.segments(n), not index.repeats(chunks, "chunk_id"))))
+
+    @staticmethod
+    def _sorted(postings: DataFrame) -> DataFrame:
+        return postings.sortWithinPartitions("term", "chunk_id")
+
+    def _put(self, name: str, df: DataFrame) -> str:
         part = f"{name}-{uuid.uuid4().hex[:12]}"
-        laid = df.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id") if name == "postings" else df
-        laid.write.parquet(f"{self.path}/{part}")
+        df.write.parquet(f"{self.path}/{part}")
         return part
 
     def part(self, part: str) -> DataFrame:

@@ -4,9 +4,13 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
+from corvane.config import Config
 from corvane.operators import chunking, index, retrieval
+from corvane.sources import store as stores
+from corvane.sources.store import Store
 
 ROWS = [("a", ["x", "y", "x", "z"]), ("b", []), ("c", ["y"]), ("d", ["x"] * 5)]
 
@@ -58,3 +62,36 @@ def test_spans_come_from_packed_counts():
     for column in (counts, counts.slice(1, 3)):
         want = [[{"first": a, "end": b} for a, b in chunking.greedy_spans(c, 8, 2)] for c in column.to_pylist()]
         assert chunking.span_arrays(column, 8, 2).to_pylist() == want
+
+
+def test_stored_postings_lie_in_segments_of_passages(spark, tmp_path, monkeypatch):
+    """A passage is shuffled once and its postings lie in one file, sorted by term; repeated ids count as one."""
+    monkeypatch.setattr(stores, "SEGMENT", 4)
+    monkeypatch.setattr(stores, "SMALL_SEGMENT", 4)
+    made = Store(spark, str(tmp_path / "index"))
+    more = [*ROWS, *((f"{i}", ["x", "w"]) for i in range(20))]
+    rows = [(c, len(ts), ts) for c, ts in [*more, ("a", ROWS[0][1])]]
+    part = made.put_postings(spark.createDataFrame(rows, "chunk_id string, dl int, tokens array<string>"))
+    want = {(t, c, n * (2 if c == "a" else 1), len(ts)) for c, ts in more for t, n in Counter(ts).items()}
+    assert {(r.term, r.chunk_id, r.tf, r.dl) for r in made.part(part).collect()} == want
+    files = [pq.read_table(f).to_pylist() for f in (tmp_path / "index" / part).glob("*.parquet")]
+    assert len([f for f in files if f]) > 1
+    for rows in files:
+        assert [r["term"] for r in rows] == sorted(r["term"] for r in rows)
+    homes = [(r["chunk_id"], i) for i, f in enumerate(files) for r in f]
+    assert len(set(homes)) == len({c for c, _ in homes})
+
+
+@pytest.mark.parametrize("most", [0, 8 << 20])
+def test_many_gone_ids_do_not_sort_the_table(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(stores, "MOST_GONE", most)
+    made = Store(spark, str(tmp_path / "index"))
+    rows = lambda *ids: spark.createDataFrame([("t", i, 1, 1) for i in ids], "term string, chunk_id string, tf long, dl int")
+    gone = lambda *ids: spark.createDataFrame([("chunk", i) for i in ids], "kind string, id string")
+    made.commit(Config(), {"postings": made.put("postings", rows("a", "b", "c"))})
+    made.commit(Config(), {}, gone("a"))
+    assert {r.chunk_id for r in made.read("postings").collect()} == {"b", "c"}
+    made.commit(Config(), {"postings": made.put("postings", rows("a", "d"))}, gone("b"))
+    got = made.read("postings")
+    assert {r.chunk_id for r in got.collect()} == {"a", "c", "d"}
+    assert ("ShuffledHashJoin" in plan(got)) == (not most) and "SortMergeJoin" not in plan(got)
